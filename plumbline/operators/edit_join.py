@@ -1,141 +1,193 @@
 """All pairs of strings within an edit distance, without comparing every string with every other.
 
-A string cut into k + 1 segments keeps one segment unchanged under k edits, so strings within distance k share a
-segment at nearly the same place (Li, Deng, Wang, Feng: Pass-Join, PVLDB 5(3), 2011). Segments become join keys.
-A segment that many strings share (a common prefix, say) would make its block quadratic. Such blocks aren't joined:
-their strings drop the shared segment, what is left must again lie within distance k, and is cut anew. Short strings,
-and what is left of longer ones, join on the texts reachable by deleting at most k characters, which only close strings
-share. Every candidate is verified, so the result is exact.
+Close strings share keys, and the keys are what is joined on. Three kinds of key are used, each complete by itself:
+
+* for most strings: one of k + 1 segments, which k edits can't all change (Li, Deng, Wang, Feng: Pass-Join, PVLDB 5(3),
+  2011);
+* for very short strings, and for those sharing a segment with too many others (a common prefix, say): the texts left
+  after deleting at most k characters, which only close strings share;
+* for crowded strings too long for that: their q k + 1 rarest q-grams, which k edits can't all change either, so that
+  the common text plays no part.
+
+Every candidate is verified, so the result is exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.sources.workspace import checkpoint
 
-_SHORT = 7  # up to this length (or k, if larger) strings join on deletion variants
-_SHORT_REST = 12  # the same for what is left of a longer string
-_DELETION_K = 3  # largest k with deletion variants beyond _SHORT
+_FEW_VARIANTS = 128  # strings with at most this many deletion variants join on them at once
+_MANY_VARIANTS = 1500  # and crowded strings up to this many
+_BUCKETS = 1 << 16  # rows of the table of q-gram frequencies
 
 
-def _segment_start(j: Column, length: Column, k: Column) -> Column:
-    """0-based start of segment j of k + 1; the last segments are the longer ones."""
-    base, longer = F.floor(length / (k + 1)), length % (k + 1)
-    return (j * base + F.greatest(F.lit(0), j - (k + 1 - longer))).cast("int")
+def _short_limit(k: int, variants: int) -> int:
+    """Longest string with at most so many deletion variants; at least k, where segments would be empty."""
+    length = k
+    while length < 256 and sum(comb(length + 1, i) for i in range(k + 1)) <= variants:
+        length += 1
+    return length
+
 
+def _limits(k: Column, largest: int, variants: int) -> Column:
+    """The short limit for a radius column."""
+    table = F.array(*[F.lit(_short_limit(i, variants)) for i in range(largest + 1)])
+    return F.element_at(table, k + 1)
 
-def _short_limit(k: Column, level: int) -> Column:
-    limit = _SHORT if level == 0 else _SHORT_REST
-    return F.greatest(k, F.when(k <= _DELETION_K, F.lit(limit)).otherwise(F.lit(0)))
 
+# --- deletion variants ------------------------------------------------------------------------------------------------
 
 def _deletions(text: Column, k: Column, largest: int) -> Column:
-    """Distinct texts made by deleting at most k characters."""
+    """Hashes of the distinct texts made by deleting at most k characters."""
+    none = F.array().cast("array<string>")
     level = found = F.array(text)
     for i in range(1, largest + 1):
-        shorter = F.flatten(F.transform(level, lambda s: F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(
-            F.transform(F.sequence(F.lit(1), F.length(s)),
-                        lambda p: F.concat(F.substring(s, F.lit(1), p - 1), F.substring(s, p + 1, F.length(s)))))))
-        level = F.when(k >= i, F.array_distinct(shorter)).otherwise(F.array().cast("array<string>"))
+        shorter = F.flatten(F.transform(level, lambda s: F.when(F.length(s) == 0, none).otherwise(F.transform(
+            F.sequence(F.lit(1), F.length(s)),
+            lambda p: F.concat(F.substring(s, F.lit(1), p - 1), F.substring(s, p + 1, F.length(s)))))))
+        level = F.when(k >= i, F.array_distinct(shorter)).otherwise(none)
         found = F.concat(found, level)
-    return F.array_distinct(found)
+    return F.transform(F.array_distinct(found), lambda s: F.xxhash64(s, k))
 
 
-_SEPARATOR = "\u0001"
+# --- segments ---------------------------------------------------------------------------------------------------------
 
-
-def _rest(text: Column, at: Column, size: Column) -> Column:
-    """The text without the segment at a 0-based position."""
-    return F.concat(F.substring(text, F.lit(1), at), F.lit(_SEPARATOR), F.substring(text, at + size + 1, F.length(text)))
+def _segment_start(j: Column, length: Column, k: Column) -> Column:
+    """0-based start of segment j of k + 1; the last segments are the longer ones."""
+    base, longer = F.floor(length / (k + 1)), length % (k + 1)
+    return (j * base + F.greatest(F.lit(0), j - (k + 1 - longer))).cast("int")
 
 
-def _left_keys(left: DataFrame, level: int, largest: int) -> tuple[DataFrame, DataFrame]:
-    """Join keys of the left rows ``(a, scope, text, k)``: by segment, and by deletion variants."""
-    size, k = F.length("text"), F.col("k")
-    is_short = size <= _short_limit(k, level)
-    cut = left.where(~is_short).withColumn("size", size).select("*", F.explode(F.sequence(F.lit(0), k)).alias("j"))
-    start = _segment_start(F.col("j"), F.col("size"), k)
-    width = _segment_start(F.col("j") + 1, F.col("size"), k) - start
-    segments = cut.select(
-        "a", "k", F.xxhash64("scope", "size", "k", "j", F.substring("text", start + 1, width)).alias("key"),
-        _rest(F.col("text"), start, width).alias("text"))
-    short = left.where(is_short).select(
-        "a", "k", F.explode(_deletions(F.col("text"), k, largest)).alias("variant"), "scope").select(
-        "a", "k", F.xxhash64("scope", "k", "variant").alias("key"))
-    return segments, short
+def _left_segments(left: DataFrame) -> DataFrame:
+    cut = left.withColumn("size", F.length("a")).select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("j"))
+    start = _segment_start(F.col("j"), F.col("size"), F.col("k"))
+    width = _segment_start(F.col("j") + 1, F.col("size"), F.col("k")) - start
+    return cut.select("a", "k", F.xxhash64("size", "k", "j", F.substring("a", start + 1, width)).alias("key"))
 
 
-def _right_keys(right: DataFrame, level: int, largest: int) -> tuple[DataFrame, DataFrame]:
-    """Join keys of the right rows ``(b, scope, text, lengths)``; ``lengths`` lists the (size, k) of possible partners."""
-    lengths = F.filter("lengths", lambda x: F.abs(x["size"] - F.length("text")) <= x["k"])
-    reach = right.select("b", "scope", "text", lengths.alias("lengths"))
-    long_ones = F.filter("lengths", lambda x: x["size"] > _short_limit(x["k"], level))
-    cut = (reach.select("b", "scope", "text", F.explode(long_ones).alias("x"))
-           .select("b", "scope", "text", "x.size", "x.k")
+def _right_segments(right: DataFrame) -> DataFrame:
+    """Substrings of ``b`` at the places where a segment of a partner of each possible length could lie."""
+    cut = (right.select("b", F.explode("partners").alias("x")).select("b", "x.size", "x.k")
            .select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("j")))
     k, j = F.col("k"), F.col("j")
     start = _segment_start(j, F.col("size"), k)
     width = _segment_start(j + 1, F.col("size"), k) - start
-    delta = F.length("text") - F.col("size")
-    # a match that leaves at most j edits before it and k - j after it can only be shifted this far
-    first = F.greatest(start + F.greatest(-j, delta - (k - j)), F.lit(0))
-    last = F.least(start + F.least(j, delta + (k - j)), F.length("text") - width)
+    longer_by = F.length("b") - F.col("size")
+    # with at most j edits before the match and k - j after it, it can only be shifted this far
+    first = F.greatest(start + F.greatest(-j, longer_by - (k - j)), F.lit(0))
+    last = F.least(start + F.least(j, longer_by + (k - j)), F.length("b") - width)
     placed = cut.withColumns({"width": width, "first": first, "last": last}).where("first <= last")
-    placed = placed.withColumn("at", F.explode(F.sequence("first", "last")))
-    segments = placed.select(
-        "b", F.xxhash64("scope", "size", "k", "j", F.substring("text", F.col("at") + 1, F.col("width"))).alias("key"),
-        _rest(F.col("text"), F.col("at"), F.col("width")).alias("text"),
-        F.array(F.struct((F.col("size") - F.col("width") + 1).alias("size"), "k")).alias("lengths"))
-    short_ks = F.array_distinct(F.transform(
-        F.filter("lengths", lambda x: x["size"] <= _short_limit(x["k"], level)), lambda x: x["k"]))
-    short = (reach.select("b", "scope", "text", F.explode(short_ks).alias("k"))
-             .select("b", "scope", "k", F.explode(_deletions(F.col("text"), F.col("k"), largest)).alias("variant"))
-             .select("b", F.xxhash64("scope", "k", "variant").alias("key")))
-    return segments, short
+    at = placed.withColumn("at", F.explode(F.sequence("first", "last")))
+    return at.select("b", F.xxhash64("size", "k", "j", F.substring("b", F.col("at") + 1, F.col("width"))).alias("key"))
+
+
+# --- rarest q-grams ---------------------------------------------------------------------------------------------------
+
+def _gram_size(size: Column, k: Column) -> Column:
+    """Longest q of 4 at most, for which a string of this size has more q-grams than k edits can touch."""
+    return F.coalesce(*[F.when(size - q + 1 > k * q, F.lit(q)) for q in (4, 3, 2)], F.lit(1))
+
+
+def _grams(text: Column, q: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: F.substring(text, i, q))
+
+
+def _bucket(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(_BUCKETS)).cast("int")
+
+
+def _rare_grams(strings: DataFrame, text: str, frequencies: DataFrame) -> DataFrame:
+    """Keys of the q k + 1 rarest q-grams of each string; a repeated q-gram counts once per occurrence."""
+    grams = strings.select(text, "k", "q", F.explode(_grams(F.col(text), F.col("q"))).alias("gram"))
+    ranked = grams.withColumn("bucket", _bucket(F.col("gram"))).join(F.broadcast(frequencies), "bucket")  # _BUCKETS rows
+    rarest = F.slice(F.array_sort(F.collect_list(F.struct("n", "gram"))), F.lit(1), F.col("q") * F.col("k") + 1)
+    per_string = ranked.groupBy(text, "k", "q").agg(rarest.alias("rarest"))  # as many as the string has characters
+    keys = F.transform("rarest", lambda x, i: F.xxhash64(x["gram"], i - F.array_position("rarest", x), "q", "k"))
+    return per_string.select(text, "k", F.explode(keys).alias("key"))
+
+
+def _gram_frequencies(*sides: tuple[DataFrame, str]) -> DataFrame:
+    """Frequencies of hashed q-grams. Any common order of q-grams serves, rare first serves best."""
+    grams = [df.select(F.explode(_grams(F.col(text), F.col("q"))).alias("gram")) for df, text in sides]
+    return checkpoint(grams[0].unionByName(grams[1]).groupBy(_bucket(F.col("gram")).alias("bucket"))
+                      .agg(F.count(F.lit(1)).alias("n")))
+
+
+# --- the join ---------------------------------------------------------------------------------------------------------
+
+def _close_pairs(left: DataFrame, right: DataFrame, largest: int) -> DataFrame:
+    near = F.abs(F.length("a") - F.length("b")) <= F.col("k")
+    return (left.select("a", "k", "key").join(right.select("b", "key"), "key").where(near)
+            .withColumn("distance", F.levenshtein("a", "b", largest))  # -1 beyond the largest
+            .where((F.col("distance") >= 0) & (F.col("distance") <= F.col("k"))).select("a", "b", "distance"))
+
+
+def _by_deletions(left: DataFrame, right: DataFrame, largest: int) -> DataFrame:
+    """Close pairs of ``(a, k)`` and ``(b, ks)``, where ``ks`` lists the radii of possible partners."""
+    k = F.col("k")
+    lhs = left.select("a", "k", F.explode(_deletions(F.col("a"), k, largest)).alias("key"))
+    rhs = right.select("b", F.explode("ks").alias("k")).select(
+        "b", F.explode(_deletions(F.col("b"), k, largest)).alias("key"))
+    return _close_pairs(lhs, rhs, largest)
 
 
-def _close_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    return (left.select("a", "k", "key").join(right.select("b", "key"), "key")
-            .withColumn("distance", F.levenshtein("a", "b", threshold=None))
-            .where(F.col("distance") <= F.col("k")).select("a", "b", "distance"))
+def _radii(partners: str, keep: Callable[[Column], Column]) -> Column:
+    return F.array_distinct(F.transform(F.filter(partners, keep), lambda x: x["k"]))
 
 
 def edit_pairs(left: DataFrame, right: DataFrame, radius: Callable[[Column], Column], largest_radius: int,
-               hot_block: int = 50_000) -> DataFrame:
+               crowd: int = 1000) -> DataFrame:
     """All ``(a, b, distance)`` with distance <= radius(length of a); equal strings included.
 
     ``left`` has the distinct strings ``a``, ``right`` the distinct strings ``b``. ``radius`` maps a length to an
-    integer and doesn't exceed ``largest_radius``. A key whose block would compare more than ``hot_block`` pairs is
-    refined instead.
+    integer and doesn't exceed ``largest_radius``. A segment is joined on while that costs at most ``crowd`` comparisons
+    per string holding it; beyond, its strings join on the finer keys instead.
     """
-    largest = F.lit(largest_radius)
-    lhs = left.select("a", F.lit(0).cast("long").alias("scope"), F.col("a").alias("text"),
-                      radius(F.length("a")).cast("int").alias("k"))
-    near = F.sequence(F.greatest(F.length("b") - largest, F.lit(0)), F.length("b") + largest)
-    rhs = right.select("b", F.lit(0).cast("long").alias("scope"), F.col("b").alias("text"),
-                       F.transform(near, lambda n: F.struct(n.alias("size"), radius(n).cast("int").alias("k")))
-                       .alias("lengths"))
-    deletable = max(largest_radius, 0)
-    found, level = None, 0
-    while True:
-        left_cut, left_short = _left_keys(lhs, level, deletable)
-        right_cut, right_short = _right_keys(rhs, level, deletable)
-        sizes = (left_cut.groupBy("key").agg(F.count(F.lit(1)).alias("n_left"))
-                 .join(right_cut.groupBy("key").agg(F.count(F.lit(1)).alias("n_right")), "key"))
-        hot = checkpoint(sizes.where(F.col("n_left") * F.col("n_right") > hot_block).select("key"))
-        any_hot = not hot.isEmpty()
-        cool_left, cool_right = left_cut, right_cut
-        if any_hot:
-            cool_left, cool_right = (side.join(hot, "key", "left_anti") for side in (left_cut, right_cut))
-        pairs = _close_pairs(cool_left, cool_right).unionByName(_close_pairs(left_short, right_short))
-        found = pairs if found is None else found.unionByName(pairs)
-        if not any_hot:
-            return found.distinct()
-        lhs = checkpoint(left_cut.join(hot, "key", "left_semi").select("a", F.col("key").alias("scope"), "text", "k"))
-        rhs = checkpoint(right_cut.join(hot, "key", "left_semi")
-                         .select("b", F.col("key").alias("scope"), "text", "lengths"))
-        level += 1
+    largest = int(largest_radius)
+    k, size = F.col("k"), F.length("a")
+    few = lambda x: x["size"] <= _limits(x["k"], largest, _FEW_VARIANTS)
+    many = lambda x: x["size"] <= _limits(x["k"], largest, _MANY_VARIANTS)
+
+    lhs = left.select("a", radius(size).cast("int").alias("k"))
+    around = F.sequence(F.greatest(F.length("b") - largest, F.lit(0)), F.length("b") + largest)
+    partners = F.filter(
+        F.transform(around, lambda n: F.struct(n.alias("size"), radius(n).cast("int").alias("k"))),
+        lambda x: F.abs(x["size"] - F.length("b")) <= x["k"])
+    rhs = right.select("b", partners.alias("partners"))
+    is_few = size <= _limits(k, largest, _FEW_VARIANTS)
+    pairs = _by_deletions(lhs.where(is_few), rhs.select("b", _radii("partners", few).alias("ks")), largest)
+
+    left_cut = _left_segments(lhs.where(~is_few))
+    rest = rhs.select("b", F.filter("partners", lambda x: ~few(x)).alias("partners"))
+    right_cut = _right_segments(rest)
+    sizes = (left_cut.groupBy("key").agg(F.count(F.lit(1)).alias("n_left"))
+             .join(right_cut.groupBy("key").agg(F.count(F.lit(1)).alias("n_right")), "key"))
+    n_left, n_right = F.col("n_left"), F.col("n_right")
+    hot = checkpoint(sizes.where(n_left * n_right > crowd * (n_left + n_right)).select("key"))
+    if hot.isEmpty():
+        return pairs.unionByName(_close_pairs(left_cut, right_cut, largest)).distinct()
+
+    pairs = pairs.unionByName(_close_pairs(*[side.join(hot, "key", "left_anti") for side in (left_cut, right_cut)], largest))
+    crowded_left = checkpoint(left_cut.join(hot, "key", "left_semi").select("a", "k").distinct())
+    crowded_b = right_cut.join(hot, "key", "left_semi").select("b").distinct()
+    crowded_right = checkpoint(rest.join(crowded_b, "b", "left_semi"))
+    is_many = size <= _limits(k, largest, _MANY_VARIANTS)
+    pairs = pairs.unionByName(_by_deletions(
+        crowded_left.where(is_many), crowded_right.select("b", _radii("partners", many).alias("ks")), largest))
+
+    long_left = crowded_left.where(~is_many).withColumn("q", _gram_size(size, k))
+    if long_left.isEmpty():
+        return pairs.distinct()
+    kinds = F.array_distinct(F.transform(F.filter("partners", lambda x: ~many(x)), lambda x: F.struct(
+        x["k"].alias("k"), _gram_size(x["size"], x["k"]).alias("q"))))
+    long_right = (crowded_right.select("b", F.explode(kinds).alias("x")).select("b", "x.k", "x.q")
+                  .where(F.length("b") >= F.col("q")))
+    frequencies = _gram_frequencies((long_left, "a"), (long_right, "b"))
+    rare = [_rare_grams(side, text, frequencies) for side, text in ((long_left, "a"), (long_right, "b"))]
+    return pairs.unionByName(_close_pairs(*rare, largest)).distinct()

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.hashing import digest_aggregates, digest_text, hash_numbers, ordered_digest, row_hash, text_hash
+from plumbline.functions.hashing import (digest_aggregates, digest_text, hash_numbers, ordered_digest, row_hash,
+                                         row_text, text_hash)
 from plumbline.functions.verdicts import FAIL, HIGH, verdict
 from plumbline.operators.ordering import running_totals
 from plumbline.operators.pairing import tagged_union
@@ -52,7 +53,8 @@ def _chunk_of(df: DataFrame, keys: Sequence[str], size: int, mode: str, chunks:
     if mode == "hash":
         if not chunks:
             raise ValueError("hash chunks need the number of chunks")
-        return F.pmod(F.xxhash64(*keys), F.lit(chunks)).cast("long")
+        key_hash = F.md5(row_text(df, keys))
+        return (F.conv(F.substring(key_hash, 1, 12), 16, 10).cast("long") % chunks).cast("long")
     raise ValueError(f"unknown chunk mode: {mode}")
 
 

@@ -21,7 +21,7 @@ def with_similarity(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def fuzzy_match(source: DataFrame, source_col: str, target: DataFrame, target_col: str,
-                threshold: float = 0.85, hot_block: int = 50_000) -> DataFrame:
+                threshold: float = 0.85, crowd: int = 1000) -> DataFrame:
     """For each distinct source value its nearest target value, if that is similar enough but not equal.
 
     Ties go to the smallest target value. A value that occurs in the target is dropped. The search widens its radius
@@ -42,7 +42,7 @@ def fuzzy_match(source: DataFrame, source_col: str, target: DataFrame, target_co
     reach = 1
     while True:
         radius = min(reach, furthest)
-        pairs = edit_pairs(pending, others, lambda n, r=radius: F.least(limit(n), F.lit(r)), radius, hot_block)
+        pairs = edit_pairs(pending, others, lambda n, r=radius: F.least(limit(n), F.lit(r)), radius, crowd)
         best = pairs.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("best"))
         step = checkpoint(best.select("a", "best.b", "best.distance"))
         nearest = step if nearest is None else nearest.unionByName(step)
@@ -57,10 +57,10 @@ def fuzzy_match(source: DataFrame, source_col: str, target: DataFrame, target_co
     return scored.where((F.col("similarity") >= threshold) & (F.col("similarity") < 1))
 
 
-def fuzzy_pairs(df: DataFrame, col: str, max_distance: int = 3, hot_block: int = 50_000) -> DataFrame:
+def fuzzy_pairs(df: DataFrame, col: str, max_distance: int = 3, crowd: int = 1000) -> DataFrame:
     """All pairs of distinct values at 1 <= distance <= ``max_distance``, each once (a < b)."""
     values = df.where(F.col(col).isNotNull()).select(F.col(col).alias("a")).distinct()
-    pairs = edit_pairs(values, values.withColumnRenamed("a", "b"), lambda n: F.lit(max_distance), max_distance, hot_block)
+    pairs = edit_pairs(values, values.withColumnRenamed("a", "b"), lambda n: F.lit(max_distance), max_distance, crowd)
     return pairs.where("a < b")
 
 
@@ -89,8 +89,8 @@ def _greedy_leaders(prefix: DataFrame, pairs: DataFrame) -> DataFrame:
     return leaders
 
 
-def fuzzy_duplicates(df: DataFrame, col: str, max_distance: int = 3, first_batch: int = 4096,
-                     hot_block: int = 50_000) -> DataFrame:
+def fuzzy_duplicates(df: DataFrame, col: str, max_distance: int = 3, first_batch: int = 256,
+                     crowd: int = 1000) -> DataFrame:
     """Near-duplicate groups: ``(leader, value, distance)``, a row per member other than the leader.
 
     The result is that of one greedy pass over the distinct values in the order of ``(md5(value), value)``: each value
@@ -107,11 +107,11 @@ def fuzzy_duplicates(df: DataFrame, col: str, max_distance: int = 3, first_batch
     while True:
         batch = pending.where(F.col("place") < share).select("value")
         a = batch.select(F.col("value").alias("a"))
-        inside = edit_pairs(a, a.withColumnRenamed("a", "b"), radius, max_distance, hot_block).where("a <> b")
+        inside = edit_pairs(a, a.withColumnRenamed("a", "b"), radius, max_distance, crowd).where("a <> b")
         leaders = checkpoint(_greedy_leaders(batch, inside))
         rest = pending.join(leaders, "value", "left_anti")
         pairs = edit_pairs(leaders.select(F.col("value").alias("a")), rest.select(F.col("value").alias("b")),
-                           radius, max_distance, hot_block)
+                           radius, max_distance, crowd)
         first = F.min(F.struct(F.md5("a").alias("h"), F.col("a").alias("leader"), "distance")).alias("best")
         step = checkpoint(pairs.groupBy(F.col("b").alias("value")).agg(first)
                           .select("best.leader", "value", "best.distance"))
@@ -119,7 +119,7 @@ def fuzzy_duplicates(df: DataFrame, col: str, max_distance: int = 3, first_batch
         if share >= 1.0:
             return members
         pending = checkpoint(rest.join(step, "value", "left_anti"))
-        share = min(1.0, share * 4)
+        share = min(1.0, share * 8)
 
 
 def fuzzy_groups(members: DataFrame) -> DataFrame:

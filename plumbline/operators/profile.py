@@ -44,7 +44,7 @@ def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     kinds = {f.name: f.dataType for f in df.schema.fields}
     texts = df.select(*[canonical_text(F.col(f"`{c}`"), kinds[c]).alias(c) for c in cols])
     pairs = texts.unpivot([], list(cols), "column", "value").where(F.col("value").isNotNull())
-    return pairs.groupBy("column", "value").agg().groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
+    return pairs.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
 
 
 def column_stats(df: DataFrame, cols: Sequence[str] | None = None, *, distinct: str = "exact",

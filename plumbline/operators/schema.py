@@ -54,20 +54,41 @@ def _sides(source: DataFrame, target: DataFrame) -> DataFrame:
     return s.join(t, "name", "full_outer")
 
 
-def schema_compatibility(source: DataFrame, target: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
+def schema_compatibility(source: DataFrame, target: DataFrame, skip: Sequence[str] = (),
+                         observed: bool = False) -> DataFrame:
     """Per source column: is it in the target (by name in any case), and at the same position. Plus extra columns.
 
-    ``issue`` is ``missing``, ``moved``, ``extra`` or null.
+    ``issue`` is ``missing``, ``moved``, ``extra`` or null. ``observed=True`` also reads both tables and reports as
+    ``emptied`` a column that has values in the source and none in the target.
     """
-    found = _sides(_names(source, skip), _names(target, skip))
+    if observed:
+        found = _sides(_observed(source, skip), _observed(target, skip))
+        emptied = (F.col("source_values") > 0) & (F.col("target_values") == 0)
+    else:
+        found, emptied = _sides(_names(source, skip), _names(target, skip)), F.lit(False)
     issue = (F.when(F.col("target_column").isNull(), "missing").when(F.col("source_column").isNull(), "extra")
-             .when(F.col("source_ordinal") != F.col("target_ordinal"), "moved"))
+             .when(F.col("source_ordinal") != F.col("target_ordinal"), "moved").when(emptied, "emptied"))
     return verdict(found.withColumn("issue", issue), (F.col("issue").isNotNull(), FAIL, HIGH))
 
 
-def schema_drift(source: DataFrame, target: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
-    """Columns added to or removed from the source's set of (lower-case) names."""
-    return field_drift(_names(source, skip), _names(target, skip), "column")
+def _observed(df: DataFrame, skip: Sequence[str]) -> DataFrame:
+    """Names, ordinals and types with the number of non-null values."""
+    skipped = {name.lower() for name in skip}
+    return per_column(df, {f.name: {"ordinal": F.lit(i), "data_type": F.lit(f.dataType.simpleString()),
+                                    "values": F.count(F.col(f"`{f.name}`"))}
+                           for i, f in enumerate(df.schema.fields, start=1) if f.name.lower() not in skipped})
+
+
+def schema_drift(source: DataFrame, target: DataFrame, skip: Sequence[str] = (), observed: bool = False) -> DataFrame:
+    """Columns added to or removed from the source's set of (lower-case) names.
+
+    ``observed=True`` reads both tables and treats a column without any value as absent.
+    """
+    if observed:
+        sides = [_observed(side, skip).where("values > 0") for side in (source, target)]
+    else:
+        sides = [_names(side, skip) for side in (source, target)]
+    return field_drift(*sides, "column")
 
 
 def field_drift(source: DataFrame, target: DataFrame, name: str = "field") -> DataFrame:

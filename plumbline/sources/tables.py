@@ -57,17 +57,19 @@ def document_fields(df: DataFrame, document: str) -> DataFrame:
     """The top-level fields of a JSON document column, over all documents.
 
     ``types`` joins every type seen (null, boolean, number, string, array, object) by a pipe; ``nullable`` is true
-    when the field is null in or absent from any document.
+    when the field is null in or absent from any document. ``ordinal`` is its earliest place in a document. Malformed
+    documents have no fields.
     """
     spark = df.sparkSession
-    parsed = df.select(F.parse_json(F.col(document)).alias("document"))
+    parsed = df.select(F.try_parse_json(document).alias("document"), F.json_object_keys(document).alias("names"))
     fields = parsed.lateralJoin(spark.tvf.variant_explode(F.col("document").outer()))
     declared = F.schema_of_variant("value")
     kind = (F.when(declared == "VOID", "null").when(declared == "STRING", "string")
             .when(declared == "BOOLEAN", "boolean").when(declared.startswith("ARRAY"), "array")
             .when(declared.startswith("OBJECT"), "object").otherwise("number"))
     text = F.variant_get("value", "$", "string")
-    seen = (fields.select("pos", F.col("key").alias("field"), kind.alias("kind"),
+    seen = (fields.where("key is not null").select(
+        (F.array_position("names", F.col("key")) - 1).cast("int").alias("pos"), F.col("key").alias("field"), kind.alias("kind"),
                           F.when(kind == "string", F.length(text)).alias("length"))
             .groupBy("field")
             .agg(F.count(F.lit(1)).alias("present"), F.count_if(F.col("kind") == "null").alias("nulls"),
