@@ -8,50 +8,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NULL_TEXT = "\\N"
 _NESTED = (T.StructType, T.MapType, T.ArrayType, T.VariantType)
 
 
-def _sorted_keys(value: Column, kind: T.DataType) -> Column:
-    """The nested value with struct fields and map entries in key order, at every level."""
+def _sorted_keys(value: str, kind: T.DataType, depth: int = 0) -> str:
+    """SQL for the nested value with struct fields and map entries in key order, at every level."""
+    item = f"item{depth}"
     if isinstance(kind, T.StructType):
         fields = sorted(kind.fields, key=lambda field: field.name)
-        ordered = F.struct(*[_sorted_keys(value[f.name], f.dataType).alias(f.name) for f in fields])
-        return F.when(value.isNotNull(), ordered)
+        parts = ", ".join(f"'{f.name}', {_sorted_keys(f'{value}.`{f.name}`', f.dataType, depth + 1)}" for f in fields)
+        return f"if({value} is null, null, named_struct({parts}))"
     if isinstance(kind, T.MapType):
-        entries = F.array_sort(F.map_entries(value))
-        entries = F.transform(entries, lambda e: F.struct(e["key"].alias("key"),
-                                                          _sorted_keys(e["value"], kind.valueType).alias("value")))
-        return F.map_from_entries(entries)
+        inner = _sorted_keys(f"{item}.value", kind.valueType, depth + 1)
+        return (f"map_from_entries(transform(array_sort(map_entries({value})), "
+                f"{item} -> struct({item}.key as key, {inner} as value)))")
     if isinstance(kind, T.ArrayType):
-        return F.transform(value, lambda item: _sorted_keys(item, kind.elementType))
+        return f"transform({value}, {item} -> {_sorted_keys(item, kind.elementType, depth + 1)})"
     return value
 
 
-def canonical_text(value: Column, kind: T.DataType, *, float_scale: int | None = None,
-                   compat: bool = False) -> Column:
-    """Text of one value, null when the value is null; the same value always gives the same text.
+def text_sql(value: str, kind: T.DataType, *, float_scale: int | None = None, compat: bool = False) -> str:
+    """SQL for the text of one value, null when the value is null; the same value always gives the same text.
 
     ``float_scale`` rounds floating point numbers to that many decimals, for sides whose float widths differ.
     ``compat`` writes date-times with milliseconds and ``Z``.
     """
     if isinstance(kind, _NESTED):
-        return F.to_json(_sorted_keys(value, kind), {"ignoreNullFields": "false"})
+        return f"to_json({_sorted_keys(value, kind)}, map('ignoreNullFields', 'false'))"
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        plain = F.when(value == 0, F.lit("0.0")).otherwise(value.cast("string"))
+        plain = f"if({value} = 0, '0.0', cast({value} as string))"
         if float_scale is None:
             return plain
-        return F.coalesce(value.try_cast(T.DecimalType(38, float_scale)).cast("string"), plain)
+        return f"coalesce(cast(try_cast({value} as decimal(38,{float_scale})) as string), {plain})"
     if isinstance(kind, T.TimestampType):  # an instant: written in UTC whatever the session time zone is
-        seconds = (F.unix_micros(value).cast("decimal(20,0)") / 1000000).cast("decimal(18,6)")
-        value = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+        seconds = f"cast(cast(unix_micros({value}) as decimal(20,0)) / 1000000 as decimal(18,6))"
+        value = f"(timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {seconds}))"
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'" if compat else "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        pattern = "yyyy-MM-dd''T''HH:mm:ss.SSS''Z''" if compat else "yyyy-MM-dd''T''HH:mm:ss.SSSSSS"
+        return f"""date_format({value}, "{pattern.replace("''", "'")}")"""
     if isinstance(kind, T.DateType):
-        return F.date_format(value, "yyyy-MM-dd'T00:00:00.000Z'" if compat else "yyyy-MM-dd")
+        return f"""date_format({value}, "{"yyyy-MM-dd'T00:00:00.000Z'" if compat else "yyyy-MM-dd"}")"""
     if isinstance(kind, T.BinaryType):
-        return F.lower(F.hex(value))
-    return value.cast("string")
+        return f"lower(hex({value}))"
+    return f"cast({value} as string)"
+
+
+def canonical_text(name: str, kind: T.DataType, **options) -> Column:
+    """Text of a column's values."""
+    return F.expr(text_sql(f"`{name}`", kind, **options))
 
 
 def row_text(df: DataFrame, cols: Sequence[str] | None = None, *, float_scale: int | None = None,
@@ -61,14 +65,15 @@ def row_text(df: DataFrame, cols: Sequence[str] | None = None, *, float_scale: i
     Backslash and pipe inside text are escaped so that two different rows never share a text; ``compat=True``
     leaves them as they are.
     """
-    kinds = {field.name: field.dataType for field in df.schema.fields}
+    kinds = {field.name.lower(): field.dataType for field in df.schema.fields}
     parts = []
     for name in cols or df.columns:
-        text = canonical_text(F.col(f"`{name}`"), kinds[name], float_scale=float_scale, compat=compat)
-        if not compat and isinstance(kinds[name], (T.StringType, *_NESTED)):
-            text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
-        parts.append(F.coalesce(text, F.lit(NULL_TEXT)))
-    return F.concat_ws("|", *parts)
+        kind = kinds[name.lower()]
+        text = text_sql(f"`{name}`", kind, float_scale=float_scale, compat=compat)
+        if not compat and isinstance(kind, (T.StringType, *_NESTED)):
+            text = f"replace(replace({text}, char(92), concat(char(92), char(92))), '|', concat(char(92), '|'))"
+        parts.append(f"coalesce({text}, concat(char(92), 'N'))")
+    return F.expr(f"concat_ws('|', {', '.join(parts)})")
 
 
 def text_hash(text: Column, algorithm: str = "md5") -> Column:

@@ -13,8 +13,8 @@ def verdict(df: DataFrame, *cases: tuple[Column, str, str], otherwise: tuple[str
     """Append ``status``/``severity`` from the first case whose condition is true."""
     status = severity = None
     for condition, case_status, case_severity in cases:
-        status = (F if status is None else status).when(condition, F.lit(case_status))
-        severity = (F if severity is None else severity).when(condition, F.lit(case_severity))
+        status = (F if status is None else status).when(condition, case_status)
+        severity = (F if severity is None else severity).when(condition, case_severity)
     if status is None:
         return df.withColumns({"status": F.lit(otherwise[0]), "severity": F.lit(otherwise[1])})
     return df.withColumns({"status": status.otherwise(otherwise[0]), "severity": severity.otherwise(otherwise[1])})

@@ -9,12 +9,19 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import FORMATS, has_outer_space
 from plumbline.functions.verdicts import FAIL, HIGH, MEDIUM, WARN, change_pct, share_pct, verdict
-from plumbline.operators.profile import column_stats, text_columns
+from plumbline.operators.profile import STATS, column_stats, text_columns
+
+NULL_MEASURES = ("total_count", "null_count")
+CARDINALITY_MEASURES = ("distinct_count",)
+RANGE_MEASURES = ("min_value", "max_value", "mean")
 
 
 def paired_profile(source: DataFrame, target: DataFrame, cols: Sequence[str] | None = None, skip: Sequence[str] = (),
-                   distinct: str = "exact") -> DataFrame:
-    """The profiles of the common columns of both sides next to each other (one row per column)."""
+                   measures: Sequence[str] = STATS, distinct: str = "exact") -> DataFrame:
+    """The profiles of the common columns of both sides next to each other (one row per column).
+
+    ``measures`` selects what a comparison needs: ``NULL_MEASURES``, ``CARDINALITY_MEASURES`` or ``RANGE_MEASURES``.
+    """
     skipped = {c.lower() for c in skip}
     wanted = {c.lower() for c in (cols or source.columns)} - skipped
     theirs = {c.lower() for c in target.columns}
@@ -22,7 +29,7 @@ def paired_profile(source: DataFrame, target: DataFrame, cols: Sequence[str] | N
     for prefix, side in (("source", source), ("target", target)):
         names = [c for c in side.columns if c.lower() in wanted and c.lower() in theirs
                  and c.lower() in {s.lower() for s in source.columns}]
-        profile = column_stats(side, names, distinct=distinct)
+        profile = column_stats(side, names, measures=measures, distinct=distinct)
         sides.append(profile.select(F.lower("column").alias("column"),
                                     *[F.col(c).alias(f"{prefix}_{c}") for c in profile.columns if c != "column"]))
     return sides[0].join(sides[1], "column")

@@ -22,11 +22,9 @@ def business_rules(source: DataFrame, target: DataFrame, rules: dict[str, str],
     """
     sides = []
     for name, side in (("source", source), ("target", target)):
-        def value(text: str) -> Column:
-            number = F.expr(text).cast("double")
-            return number if round_to is None else F.round(number, round_to)
-        measures = {rule: {f"{name}_value": value(text)} for rule, text in rules.items()}
-        sides.append(per_column(side, measures).withColumnRenamed("column", "rule_name"))
+        value = "cast({} as double)" if round_to is None else f"round(cast({{}} as double), {round_to})"
+        measures = {rule: {f"{name}_value": value.format(f"({sql})")} for rule, sql in rules.items()}
+        sides.append(per_column(side, measures, "rule_name"))
     measured = sides[0].join(sides[1], "rule_name")
     s, t = F.col("source_value"), F.col("target_value")
     measured = measured.withColumn("drift_pct", F.when(s == t, F.lit(0.0)).when(s == 0, F.lit(100.0))
@@ -117,11 +115,16 @@ PII_POLICY: dict[str, tuple[str, str, str]] = {
 NAME_CONFIDENCE = 0.9
 
 
+# Cheap conditions that every match fulfils, tested before the costly pattern.
+_NECESSARY = {"email": lambda text: F.contains(text, F.lit("@")), "phone": lambda text: text.rlike("[0-9]{3}[-. ][0-9]{4}"),
+              "ssn": lambda text: text.rlike("[0-9]-[0-9]{2}-[0-9]"), "ip_address": lambda text: text.rlike(r"[0-9]\.[0-9]")}
+
+
 def has_pii(text: Column, kind: str) -> Column:
     """True when the text holds a value of the kind; card numbers must also pass the Luhn check."""
     pattern = PII_VALUES[kind]
     if kind != "card_number":
-        return text.rlike(pattern)
+        return _NECESSARY[kind](text) & text.rlike(pattern)
     candidates = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return F.exists(candidates, lambda c: luhn_valid(F.regexp_replace(c, "[^0-9]", "")))
 

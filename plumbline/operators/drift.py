@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.statistics import chi_square_p_value, ks_p_value
 from plumbline.functions.verdicts import FAIL, HIGH, MEDIUM, SKIPPED, WARN, verdict
-from plumbline.operators.ordering import quantiles, running_totals, value_counts
+from plumbline.operators.ordering import quantile_columns, running_totals
 from plumbline.operators.pairing import side_counts, tagged_union
 from plumbline.operators.profile import numeric_columns, per_column
 from plumbline.operators.sampling import top_values
@@ -24,12 +24,13 @@ def _paired_counts(source: DataFrame, target: DataFrame, cols: Sequence[str], di
     return long.groupBy("column", "value").agg(merge("in_source").alias("n_source"), merge("in_target").alias("n_target"))
 
 
-def _ks(counts: DataFrame) -> DataFrame:
+def _ks(counts: DataFrame, *also: Column) -> DataFrame:
+    """Test statistic and p-value per column, with other aggregates over the same running totals."""
     totals = running_totals(counts, ["value"], ["n_source", "n_target"], by=["column"])
     gap = F.abs(F.col("upto_n_source") / F.col("all_n_source") - F.col("upto_n_target") / F.col("all_n_target"))
     found = totals.groupBy("column").agg(F.max("all_n_source").alias("n_source"), F.max("all_n_target").alias("n_target"),
                                          F.max(F.when((F.col("all_n_source") > 0) & (F.col("all_n_target") > 0), gap))
-                                         .alias("statistic"))
+                                         .alias("statistic"), *also)
     found = found.withColumn("statistic", F.coalesce("statistic", F.lit(0.0)))
     return found.withColumn("p_value", ks_p_value(F.col("statistic"), F.col("n_source"), F.col("n_target")))
 
@@ -81,13 +82,16 @@ def drift_score(source: DataFrame, target: DataFrame, cols: Sequence[str] | None
     common = {c.lower() for c in numeric_columns(target)}
     cols = list(cols or [c for c in numeric_columns(source) if c.lower() in common])
     counts = _paired_counts(source, target, cols, distinct=False)
-    result = _ks(counts).select("column", "statistic", "p_value")
+    picks, medians = [], []
+    for name in ("source", "target"):
+        more, median = quantile_columns({f"{name}_median": 0.5}, "midpoint", f"n_{name}")
+        picks += more
+        medians += median
+    result = _ks(counts, *picks).select("column", "statistic", "p_value", *medians)
     for name, side in (("source", source), ("target", target)):
-        moments = per_column(side, {c: {f"{name}_mean": F.coalesce(F.avg(F.col(f"`{c}`").cast("double")), F.lit(0.0)),
-                                        f"{name}_stddev": F.coalesce(F.stddev_pop(F.col(f"`{c}`").cast("double")),
-                                                                     F.lit(0.0))} for c in cols})
-        middle = quantiles(value_counts(side, cols), {f"{name}_median": 0.5})
-        result = result.join(moments, "column").join(middle, "column", "left")
+        result = result.join(per_column(side, {c: {
+            f"{name}_mean": f"coalesce(avg(cast(`{c}` as double)), 0.0D)",
+            f"{name}_stddev": f"coalesce(stddev_pop(cast(`{c}` as double)), 0.0D)"} for c in cols}), "column")
     mean_shift = F.when(F.col("source_mean") != 0, F.abs(F.col("target_mean") - F.col("source_mean"))
                         / F.abs(F.col("source_mean"))).otherwise(0.0)
     stddev_shift = F.when(F.col("source_stddev") != 0, F.abs(F.col("target_stddev") - F.col("source_stddev"))

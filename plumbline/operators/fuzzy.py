@@ -139,7 +139,7 @@ def column_mapping(source: DataFrame, target: DataFrame, min_confidence: float =
     sides = []
     for name, side in (("source", source), ("target", target)):
         kinds = {f.name: f.dataType for f in side.schema.fields}
-        texts = side.select(*[canonical_text(F.col(f"`{c}`"), kinds[c]).alias(c) for c in side.columns])
+        texts = side.select(*[canonical_text(c, kinds[c]).alias(c) for c in side.columns])
         sides.append(texts.unpivot([], side.columns, "column", "value").where(F.col("value").isNotNull())
                      .select(F.lit(name).alias("side"), "column", "value"))
     # a value meets at most every column once, so the sets are bounded by the two schemas

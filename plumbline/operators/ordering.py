@@ -85,6 +85,12 @@ def quantiles(counts: DataFrame, probabilities: dict[str, float], method: str =
     even-sized sample) or ``linear`` (interpolated). One row per column, one output column per probability.
     """
     totals = running_totals(counts.select("column", "value", n), ["value"], [n], by=["column"])
+    picks, outputs = quantile_columns(probabilities, method, n)
+    return totals.groupBy("column").agg(*picks).select("column", *outputs)
+
+
+def quantile_columns(probabilities: dict[str, float], method: str, n: str) -> tuple[list[Column], list[Column]]:
+    """Aggregates over running totals of the counts ``n``, and the quantiles computed from them."""
     start, end = F.col(f"upto_{n}") - F.col(n), F.col(f"upto_{n}")
     picks, outputs = [], []
     for name, p in probabilities.items():
@@ -94,4 +100,4 @@ def quantiles(counts: DataFrame, probabilities: dict[str, float], method: str =
         picks.append(F.max(weight).alias(f"{name}_weight"))
         outputs.append((F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low"))
                         * F.col(f"{name}_weight")).alias(name))
-    return totals.groupBy("column").agg(*picks).select("column", *outputs)
+    return picks, outputs

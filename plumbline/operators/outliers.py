@@ -20,10 +20,10 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str =
     """
     measures = {}
     for c in cols:
-        value = F.col(f"`{c}`").cast("double")
-        measures[c] = {"n": F.count(value), "mean": F.avg(value), "stddev": F.stddev_pop(value)}
+        value = f"cast(`{c}` as double)"
+        measures[c] = {"n": f"count({value})", "mean": f"avg({value})", "stddev": f"stddev_pop({value})"}
         if approx:
-            measures[c] |= {"q1": F.percentile_approx(value, 0.25), "q3": F.percentile_approx(value, 0.75)}
+            measures[c] |= {"q1": f"percentile_approx({value}, 0.25)", "q3": f"percentile_approx({value}, 0.75)"}
     bounds = per_column(df, measures)
     if not approx:
         bounds = bounds.join(quantiles(value_counts(df, cols), {"q1": 0.25, "q3": 0.75}, method), "column", "left")

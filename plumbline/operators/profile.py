@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.hashing import canonical_text
+from plumbline.functions.hashing import text_sql
 from plumbline.operators.ordering import quantiles, value_counts
 
 _ORDERED = (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
@@ -32,56 +32,77 @@ def temporal_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
     return columns_of(df, T.DateType, T.TimestampType, T.TimestampNTZType, skip=skip)
 
 
-def per_column(df: DataFrame, measures: dict[str, dict[str, Column]]) -> DataFrame:
-    """Run all ``{column: {measure: aggregate}}`` in one pass; one output row per column."""
-    rows = [F.struct(F.lit(name).alias("column"), *[agg.alias(m) for m, agg in aggregates.items()])
-            for name, aggregates in measures.items()]
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+def per_column(df: DataFrame, measures: dict[str, dict[str, str]], name: str = "column") -> DataFrame:
+    """Run all ``{column: {measure: SQL aggregate}}`` in one pass; one output row per column."""
+    rows = [f"named_struct('{name}', '{column}', " + ", ".join(f"'{m}', {sql}" for m, sql in aggregates.items()) + ")"
+            for column, aggregates in measures.items()]
+    return df.agg(F.expr(f"array({', '.join(rows)})").alias("rows")).selectExpr("inline(rows)")
 
 
-def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Exact distinct non-null values per column, all columns in one shuffle of (column, value) pairs."""
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    texts = df.select(*[canonical_text(F.col(f"`{c}`"), kinds[c]).alias(c) for c in cols])
-    pairs = texts.unpivot([], list(cols), "column", "value").where(F.col("value").isNotNull())
-    return pairs.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
-
+def _value_measures(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Per column: exact distinct count and text lengths, from the counts of its distinct values.
 
-def column_stats(df: DataFrame, cols: Sequence[str] | None = None, *, distinct: str = "exact",
-                 rsd: float = 0.02) -> DataFrame:
+    The values are counted in their own types, the columns of one type together, so that texts are only made of
+    distinct values and every column is read once.
+    """
+    by_kind: dict[str, tuple[T.DataType, list[str]]] = {}
+    for f in df.schema.fields:
+        if f.name in cols:
+            kind = T.LongType() if isinstance(f.dataType, T.IntegralType) else f.dataType
+            by_kind.setdefault(kind.simpleString(), (kind, []))[1].append(f.name)
+    parts = []
+    for kind, names in by_kind.values():
+        nested = not isinstance(kind, T.AtomicType) or isinstance(kind, T.VariantType)
+        texts = [f"{text_sql(f'`{c}`', kind) if nested else f'cast(`{c}` as {kind.simpleString()})'} as `{c}`" for c in names]
+        value = T.StringType() if nested else kind
+        counts = (df.selectExpr(*texts).unpivot([], names, "column", "value").where("value is not null")
+                  .groupBy("column", "value").agg(F.expr("count(1)").alias("n"))
+                  .selectExpr("column", "n", f"length({text_sql('value', value)}) as size"))
+        parts.append(counts.groupBy("column").agg(
+            F.expr("count(1)").alias("distinct_count"), F.expr("min(size)").alias("min_length"),
+            F.expr("max(size)").alias("max_length"), F.expr("sum(size * n) / sum(n)").alias("avg_length")))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+STATS = ("total_count", "null_count", "min_value", "max_value", "mean", "stddev", "min_length", "max_length",
+         "avg_length", "distinct_count")
+_FROM_VALUES = STATS[6:]
+
+
+def column_stats(df: DataFrame, cols: Sequence[str] | None = None, *, measures: Sequence[str] = STATS,
+                 distinct: str = "exact", rsd: float = 0.02) -> DataFrame:
     """Per column: total, null and distinct counts, min and max as text, mean, sample deviation, text lengths.
 
-    Min and max compare typed values; mean and deviation are null for text that isn't numeric.
-    ``distinct``: ``exact``, ``approx`` (within ``rsd``, no shuffle of values) or ``none``.
+    Min and max compare typed values; mean and deviation are null for text that isn't numeric. ``measures`` selects;
+    without distinct count and lengths, or with ``distinct="approx"`` (within ``rsd``), no values are shuffled.
     """
     cols = list(cols or df.columns)
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    measures = {}
+    approximate = distinct == "approx"
+    aggregates = {}
     for name in cols:
-        value, kind = F.col(f"`{name}`"), kinds[name]
-        text = canonical_text(value, kind)
-        ordered = isinstance(kind, _ORDERED)
-        number = (value.cast("double") if isinstance(kind, T.NumericType)
-                  else value.try_cast("double") if isinstance(kind, T.StringType) else F.lit(None).cast("double"))
-        measures[name] = {
-            "total_count": F.count(F.lit(1)),
-            "null_count": F.count_if(value.isNull()),
-            "min_value": canonical_text(F.min(value), kind) if ordered else F.lit(None).cast("string"),
-            "max_value": canonical_text(F.max(value), kind) if ordered else F.lit(None).cast("string"),
-            "mean": F.avg(number),
-            "stddev": F.stddev_samp(number),
-            "min_length": F.min(F.length(text)),
-            "max_length": F.max(F.length(text)),
-            "avg_length": F.avg(F.length(text)),
-        }
-        if distinct == "approx":
-            measures[name]["distinct_count"] = F.approx_count_distinct(text, rsd)
-    stats = per_column(df, measures)
-    if distinct == "exact":
-        counts = distinct_counts(df, cols)
-        stats = (stats.join(counts, "column", "left")
-                 .withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)).cast("long")))
-    return stats
+        value, kind = f"`{name}`", kinds[name]
+        size = f"length({text_sql(value, kind)})"
+        least, most = ((text_sql(f"{m}({value})", kind) for m in ("min", "max")) if isinstance(kind, _ORDERED)
+                       else ("cast(null as string)",) * 2)
+        number = (f"cast({value} as double)" if isinstance(kind, T.NumericType)
+                  else f"try_cast({value} as double)" if isinstance(kind, T.StringType) else "cast(null as double)")
+        every = {"total_count": "count(1)", "null_count": f"count_if({value} is null)", "min_value": least,
+                 "max_value": most, "mean": f"avg({number})", "stddev": f"stddev_samp({number})",
+                 "min_length": f"min({size})", "max_length": f"max({size})", "avg_length": f"avg({size})",
+                 "distinct_count": f"approx_count_distinct({text_sql(value, kind)}, {rsd})"}
+        aggregates[name] = {m: every[m] for m in STATS if m in measures and (approximate or m not in _FROM_VALUES)}
+    from_values = [m for m in _FROM_VALUES if m in measures]
+    if approximate or not from_values:
+        return per_column(df, aggregates)
+    if not any(aggregates.values()):
+        aggregates = {name: {"total_count": "count(1)"} for name in cols}
+    values = _value_measures(df, cols).select("column", *from_values)
+    joined = per_column(df, aggregates).join(values, "column", "left")
+    return joined.fillna(0, ["distinct_count"]) if "distinct_count" in from_values else joined
 
 
 def distribution_summary(df: DataFrame, cols: Sequence[str] | None = None, method: str = "midpoint") -> DataFrame:
@@ -89,11 +110,9 @@ def distribution_summary(df: DataFrame, cols: Sequence[str] | None = None, metho
     cols = list(cols or numeric_columns(df))
     measures = {}
     for name in cols:
-        value = F.col(f"`{name}`").cast("double")
-        n = F.count(value).cast("double")
-        bias = F.when(n > 2, F.sqrt(n * (n - 1)) / (n - 2))
-        measures[name] = {"n": F.count(value), "mean": F.avg(value), "stddev": F.stddev_pop(value),
-                          "skewness": F.skewness(value) * bias}
-    moments = per_column(df, measures)
+        v = f"cast(`{name}` as double)"
+        n = f"cast(count({v}) as double)"
+        measures[name] = {"n": f"count({v})", "mean": f"avg({v})", "stddev": f"stddev_pop({v})",
+                          "skewness": f"skewness({v}) * if({n} > 2, sqrt({n} * ({n} - 1)) / ({n} - 2), null)"}
     quarters = quantiles(value_counts(df, cols), {"q1": 0.25, "median": 0.5, "q3": 0.75}, method)
-    return moments.join(quarters, "column", "left").withColumn("iqr", F.col("q3") - F.col("q1"))
+    return per_column(df, measures).join(quarters, "column", "left").withColumn("iqr", F.expr("q3 - q1"))

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.hashing import canonical_text
 from plumbline.functions.verdicts import FAIL, HIGH, MEDIUM, WARN, verdict
 from plumbline.operators.profile import per_column
 
@@ -21,21 +20,21 @@ def column_catalog(df: DataFrame, declared: dict[str, int] | None = None) -> Dat
     declared = {name.lower(): length for name, length in (declared or {}).items()}
     measures = {}
     for ordinal, f in enumerate(df.schema.fields, start=1):
-        value = F.col(f"`{f.name}`")
-        nothing = F.lit(None).cast("int")
+        value, nothing = f"`{f.name}`", "cast(null as int)"
         digits = scale = nothing
-        if isinstance(f.dataType, T.NumericType):
-            plain = F.abs(value.try_cast("decimal(38,10)")).cast("string")
-            digits = F.max(F.length(F.regexp_replace(F.substring_index(plain, ".", 1), r"^0+(?=\d)", "")))
-            fraction = F.when(F.instr(plain, ".") > 0, F.rtrim(F.substring_index(plain, ".", -1), F.lit("0")))
-            scale = F.coalesce(F.max(F.length(fraction)), F.lit(0))
+        if isinstance(f.dataType, T.IntegralType):
+            digits, scale = f"greatest(length(abs(cast(max({value}) as decimal(20,0)))), " \
+                            f"length(abs(cast(min({value}) as decimal(20,0)))))", f"if(count({value}) > 0, 0, null)"
+        elif isinstance(f.dataType, T.NumericType):
+            plain = f"cast(abs(try_cast({value} as decimal(38,10))) as string)"
+            digits = f"max(length(substring_index({plain}, '.', 1)))"
+            scale = f"max(length(rtrim('0', substring_index({plain}, '.', -1))))"
         length = getattr(f.dataType, "length", None) or declared.get(f.name.lower())
         measures[f.name] = {
-            "ordinal": F.lit(ordinal), "data_type": F.lit(f.dataType.simpleString()),
-            "declared_length": F.lit(length).cast("int"), "total_count": F.count(F.lit(1)),
-            "null_count": F.count_if(value.isNull()),
-            "max_length": F.max(F.length(canonical_text(value, f.dataType))) if isinstance(f.dataType, T.StringType)
-            else nothing,
+            "ordinal": str(ordinal), "data_type": f"'{f.dataType.simpleString()}'",
+            "declared_length": nothing if length is None else str(length), "total_count": "count(1)",
+            "null_count": f"count_if({value} is null)",
+            "max_length": f"max(length({value}))" if isinstance(f.dataType, T.StringType) else nothing,
             "max_digits": digits, "max_scale": scale}
     return per_column(df, measures)
 
@@ -74,8 +73,8 @@ def schema_compatibility(source: DataFrame, target: DataFrame, skip: Sequence[st
 def _observed(df: DataFrame, skip: Sequence[str]) -> DataFrame:
     """Names, ordinals and types with the number of non-null values."""
     skipped = {name.lower() for name in skip}
-    return per_column(df, {f.name: {"ordinal": F.lit(i), "data_type": F.lit(f.dataType.simpleString()),
-                                    "values": F.count(F.col(f"`{f.name}`"))}
+    return per_column(df, {f.name: {"ordinal": str(i), "data_type": f"'{f.dataType.simpleString()}'",
+                                    "values": f"count(`{f.name}`)"}
                            for i, f in enumerate(df.schema.fields, start=1) if f.name.lower() not in skipped})
 
 

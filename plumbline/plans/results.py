@@ -17,15 +17,16 @@ def to_rule_results(df: DataFrame, run_id: str, stage: str, rule: str, table: st
 
     ``metrics`` go into the map as numbers and, with the ``shown`` columns, into the detail text.
     """
-    pairs = [x for m in metrics for x in (F.lit(m), F.col(m).cast("double"))]
-    texts = [F.concat(F.lit(f"{m}="), F.coalesce(F.col(m).cast("string"), F.lit("none"))) for m in (*shown, *metrics)]
-    name = F.col(column) if isinstance(column, str) else column if column is not None else F.lit(None)
+    pairs = ", ".join(f"'{m}', cast(`{m}` as double)" for m in metrics)
+    texts = "".join(f", concat('{m}=', coalesce(cast(`{m}` as string), 'none'))" for m in (*shown, *metrics))
+    name = F.col(column) if isinstance(column, str) else F.lit(None) if column is None else column
+    advice = "null" if remediation is None else f"if(status in ('FAIL', 'WARN'), '{remediation}', null)"
     return df.select(
-        F.lit(run_id).alias("run_id"), F.lit(stage).alias("stage"), F.lit(rule).alias("rule"),
-        F.lit(table).alias("table"), name.cast("string").alias("column"), "status", "severity",
-        (F.create_map(*pairs) if pairs else F.lit(None)).cast("map<string,double>").alias("metrics"),
-        F.concat_ws(", ", *texts).alias("detail"),
-        F.when(F.col("status").isin("FAIL", "WARN"), F.lit(remediation)).cast("string").alias("remediation"))
+        *(F.lit(text).alias(label) for label, text in (("run_id", run_id), ("stage", stage), ("rule", rule),
+                                                       ("table", table))),
+        name.cast("string").alias("column"), "status", "severity",
+        F.expr(f"cast({f'map({pairs})' if pairs else 'null'} as map<string,double>) as metrics"),
+        F.expr(f"concat_ws(', '{texts}) as detail"), F.expr(f"cast({advice} as string) as remediation"))
 
 
 def union_results(spark: SparkSession, parts: Sequence[DataFrame]) -> DataFrame:

@@ -188,23 +188,19 @@ def _(spark, d):
     return profile.column_stats(fx.table(spark, d, "lineitem")).withColumn("mean", F.round("mean", 4))
 
 
-def order_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return columns.paired_profile(*orders_pair(spark, sf_dir))
-
-
 @query("c2_null_rate_delta")
 def _(spark, d):
-    return columns.null_rate_delta(columns.paired_profile(*orders_pair(spark, d), distinct="none"))
+    return columns.null_rate_delta(columns.paired_profile(*orders_pair(spark, d), measures=columns.NULL_MEASURES))
 
 
 @query("c3_cardinality_delta")
 def _(spark, d):
-    return columns.cardinality_delta(order_profiles(spark, d))
+    return columns.cardinality_delta(columns.paired_profile(*orders_pair(spark, d), measures=columns.CARDINALITY_MEASURES))
 
 
 @query("c4_range_drift")
 def _(spark, d):
-    return columns.range_drift(columns.paired_profile(*orders_pair(spark, d), distinct="none"))
+    return columns.range_drift(columns.paired_profile(*orders_pair(spark, d), measures=columns.RANGE_MEASURES))
 
 
 @query("c5_type_compatibility")
@@ -579,7 +575,8 @@ def order_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         add("table_profiling", "referential_integrity",
             keys.orphaned_keys(target, customer, [("o_custkey", "c_custkey")]), metrics=["orphaned_rows"])
         add("column_profiling", "null_completeness_ratio",
-            columns.null_rate_delta(columns.paired_profile(orders, target, distinct="none")), "column", metrics=["delta_pct"])
+            columns.null_rate_delta(columns.paired_profile(orders, target, measures=columns.NULL_MEASURES)), "column",
+            metrics=["delta_pct"])
         add("column_profiling", "whitespace_encoding", columns.whitespace_check(target), "column", metrics=["spaced_rows"])
         found = keys.reconcile_keys(orders, target, ["o_orderkey"])
         add("reconciliation", "row_reconciliation", found, metrics=["missing_rows", "extra_rows"])
