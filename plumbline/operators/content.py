@@ -39,8 +39,10 @@ def rule_query(source: DataFrame, target: DataFrame, name: str, query: str, tole
     for side, df in (("source", source), ("target", target)):
         result = df.sparkSession.sql(query, table=df)
         sides.append(result.limit(1).select(F.lit(name).alias("rule_name"),
-                                            F.col(f"`{result.columns[0]}`").cast("double").alias(f"{side}_value")))
-    measured = sides[0].join(sides[1], "rule_name", "full_outer")
+                                            F.lit(side).alias("side"),
+                                            F.col(f"`{result.columns[0]}`").cast("double").alias("value")))
+    measured = sides[0].unionByName(sides[1]).groupBy("rule_name").agg(
+        *[F.max(F.when(F.col("side") == side, F.col("value"))).alias(f"{side}_value") for side in ("source", "target")])
     s, t = F.col("source_value"), F.col("target_value")
     measured = measured.withColumn("drift_pct", F.when(s == t, F.lit(0.0)).when(s == 0, F.lit(100.0))
                                    .otherwise(change_pct(s, t)))
@@ -147,7 +149,10 @@ def pii_scan(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
                 F.lit(c).alias("column"), F.lit(kind).alias("pii_type"), F.count(F.col(f"`{c}`")).alias("checked_rows"),
                 matches.alias("matching_rows"), F.lit(kind in kinds).alias("named"), F.lit(risk).alias("risk"),
                 F.lit(regulations).alias("regulations"), F.lit(protection).alias("recommendation")))
-    found = df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    if not cells:  # nothing to look at: one cell without a match, which is dropped below
+        cells = [F.expr("""named_struct('column', '', 'pii_type', '', 'checked_rows', 0L, 'matching_rows', 0L, 'named', false,
+                                        'risk', '', 'regulations', '', 'recommendation', '')""")]
+    found = df.agg(F.count(F.lit(1)), F.array(*cells).alias("cells")).select(F.inline("cells"))
     rate = F.when(F.col("checked_rows") == 0, F.lit(0.0)).otherwise(F.col("matching_rows") / F.col("checked_rows"))
     found = found.withColumn("match_rate", rate).withColumn(
         "confidence", F.greatest("match_rate", F.when(F.col("named"), F.lit(NAME_CONFIDENCE)).otherwise(F.lit(0.0))))

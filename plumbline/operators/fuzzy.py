@@ -128,28 +128,55 @@ def fuzzy_groups(members: DataFrame) -> DataFrame:
     return verdict(groups, otherwise=(FAIL, MEDIUM))
 
 
-def column_mapping(source: DataFrame, target: DataFrame, min_confidence: float = 0.7,
-                   unmapped_below: float = 0.4) -> DataFrame:
-    """The best target column for each source column, judged by name and by shared values.
+_BITS = 63  # columns per bit mask
 
-    ``confidence`` is 1 for equal normalised names, otherwise half the name similarity plus half the share of the
-    source's distinct values found in the target column. Columns below ``unmapped_below`` count as unmapped.
+
+def _masks(side: str, columns: Sequence[str]) -> dict[str, Column]:
+    """Bit masks telling which columns of a side hold a value."""
+    masks = {}
+    for word in range(0, len(columns), _BITS):
+        cases = " ".join(f"when '{c}' then {1 << i}L" for i, c in enumerate(columns[word:word + _BITS]))
+        masks[f"{side}_{word}"] = F.expr(f"bit_or(if(side = '{side}', case column {cases} else 0L end, 0L))")
+    return masks
+
+
+def _columns_of(side: str, columns: Sequence[str]) -> Column:
+    """The column names of the bits set in a side's masks."""
+    names = ", ".join(f"if(getbit({side}_{i - i % _BITS}, {i % _BITS}) = 1, '{c}', null)" for i, c in enumerate(columns))
+    return F.expr(f"array_compact(array({names}))")
+
+
+def _shared_values(source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct values that each pair of columns shares, and distinct values of each source column.
+
+    Each value is reduced to the set of columns holding it, and the values to counts of such sets, of which there are few.
     """
-    spark = source.sparkSession
     sides = []
     for name, side in (("source", source), ("target", target)):
         kinds = {f.name: f.dataType for f in side.schema.fields}
         texts = side.select(*[canonical_text(c, kinds[c]).alias(c) for c in side.columns])
         sides.append(texts.unpivot([], side.columns, "column", "value").where(F.col("value").isNotNull())
                      .select(F.lit(name).alias("side"), "column", "value"))
-    # a value meets at most every column once, so the sets are bounded by the two schemas
-    meetings = sides[0].unionByName(sides[1]).groupBy("value").agg(
-        F.collect_set(F.when(F.col("side") == "source", F.col("column"))).alias("s"),
-        F.collect_set(F.when(F.col("side") == "target", F.col("column"))).alias("t"))
-    cells = meetings.select(F.explode("s").alias("source_column"), "t")
-    sizes = cells.groupBy("source_column").agg(F.count(F.lit(1)).alias("distinct_values"))
-    shared = (cells.select("source_column", F.explode("t").alias("target_column"))
-              .groupBy("source_column", "target_column").agg(F.count(F.lit(1)).alias("shared_values")))
+    masks = _masks("source", source.columns) | _masks("target", target.columns)
+    held = sides[0].unionByName(sides[1]).groupBy("value").agg(*[mask.alias(name) for name, mask in masks.items()])
+    counts = checkpoint(held.groupBy(*masks).agg(F.count(F.lit(1)).alias("n")))
+    cells = counts.select(F.explode(_columns_of("source", source.columns)).alias("source_column"),
+                          _columns_of("target", target.columns).alias("others"), "n")
+    sizes = cells.groupBy("source_column").agg(F.sum("n").alias("distinct_values"))
+    shared = (cells.select("source_column", F.explode("others").alias("target_column"), "n")
+              .groupBy("source_column", "target_column").agg(F.sum("n").alias("shared_values")))
+    return shared, sizes
+
+
+def column_mapping(source: DataFrame, target: DataFrame, min_confidence: float = 0.7,
+                   unmapped_below: float = 0.4) -> DataFrame:
+    """The best target column for each source column, judged by name and by shared values.
+
+    ``confidence`` is 1 for equal normalised names, otherwise half the name similarity plus half the share of the
+    source's distinct values found in the target column. Columns below ``unmapped_below`` count as unmapped.
+    """
+    spark = source.sparkSession
+    shared, sizes = _shared_values(source, target)
     kinds = {"source": {f.name: f.dataType.simpleString() for f in source.schema.fields},
              "target": {f.name: f.dataType.simpleString() for f in target.schema.fields}}
     grid = spark.createDataFrame(
