@@ -6,8 +6,8 @@ Close strings share keys, and the keys are what is joined on. Three kinds of key
   2011);
 * for very short strings, and for those sharing a segment with too many others (a common prefix, say): the texts left
   after deleting at most k characters, which only close strings share;
-* for crowded strings too long for that: their q k + 1 rarest q-grams, which k edits can't all change either, so that
-  the common text plays no part.
+* for crowded strings too long for that, and for wide radii, where segments get too many: their q k + 1 rarest q-grams,
+  which k edits can't all change either, so that the common text plays no part.
 
 Every candidate is verified, so the result is exact.
 """
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from plumbline.sources.workspace import checkpoint
 
 _FEW_VARIANTS = 128  # strings with at most this many deletion variants join on them at once
+_DELETION_K = 7  # largest radius with deletion variants
+_SEGMENT_K = 8  # largest radius with segments
 _MANY_VARIANTS = 1500  # and crowded strings up to this many
 _BUCKETS = 1 << 16  # rows of the table of q-gram frequencies
 
@@ -30,30 +32,34 @@ _BUCKETS = 1 << 16  # rows of the table of q-gram frequencies
 def _short_limit(k: int, variants: int) -> int:
     """Longest string with at most so many deletion variants; at least k, where segments would be empty."""
     length = k
-    while length < 256 and sum(comb(length + 1, i) for i in range(k + 1)) <= variants:
+    while k <= _DELETION_K and length < 256 and sum(comb(length + 1, i) for i in range(k + 1)) <= variants:
         length += 1
     return length
 
 
 def _limits(k: Column, largest: int, variants: int) -> Column:
     """The short limit for a radius column."""
-    table = F.array(*[F.lit(_short_limit(i, variants)) for i in range(largest + 1)])
-    return F.element_at(table, k + 1)
+    table = F.array(*[F.lit(_short_limit(i, variants)) for i in range(min(largest, _DELETION_K) + 1)])
+    return F.when(k <= _DELETION_K, F.element_at(table, F.least(k, F.lit(_DELETION_K)) + 1)).otherwise(k)
 
 
 # --- deletion variants ------------------------------------------------------------------------------------------------
 
 def _deletions(text: Column, k: Column, largest: int) -> Column:
-    """Hashes of the distinct texts made by deleting at most k characters."""
+    """Hashes of the distinct texts made by deleting at most k characters.
+
+    For a radius beyond _DELETION_K one key for all: strings no longer than that are all close to each other.
+    """
     none = F.array().cast("array<string>")
     level = found = F.array(text)
-    for i in range(1, largest + 1):
+    for i in range(1, min(largest, _DELETION_K) + 1):
         shorter = F.flatten(F.transform(level, lambda s: F.when(F.length(s) == 0, none).otherwise(F.transform(
             F.sequence(F.lit(1), F.length(s)),
             lambda p: F.concat(F.substring(s, F.lit(1), p - 1), F.substring(s, p + 1, F.length(s)))))))
-        level = F.when(k >= i, F.array_distinct(shorter)).otherwise(none)
+        level = F.when((k >= i) & (k <= _DELETION_K), F.array_distinct(shorter)).otherwise(none)
         found = F.concat(found, level)
-    return F.transform(F.array_distinct(found), lambda s: F.xxhash64(s, k))
+    every = F.transform(F.array_distinct(found), lambda s: F.xxhash64(s, k))
+    return every if largest <= _DELETION_K else F.when(k <= _DELETION_K, every).otherwise(F.array(F.xxhash64(k)))
 
 
 # --- segments ---------------------------------------------------------------------------------------------------------
@@ -141,18 +147,32 @@ def _radii(partners: str, keep: Callable[[Column], Column]) -> Column:
     return F.array_distinct(F.transform(F.filter(partners, keep), lambda x: x["k"]))
 
 
+def _by_grams(left: DataFrame, right: DataFrame, largest: int) -> DataFrame:
+    """Close pairs of ``(a, k)`` and ``(b, partners)`` by rare q-grams."""
+    k = F.col("k")
+    lhs = left.withColumn("q", _gram_size(F.length("a"), k))
+    kinds = F.array_distinct(F.transform("partners", lambda x: F.struct(
+        x["k"].alias("k"), _gram_size(x["size"], x["k"]).alias("q"))))
+    rhs = (right.select("b", F.explode(kinds).alias("x")).select("b", "x.k", "x.q")
+           .where(F.length("b") >= F.col("q")))
+    frequencies = _gram_frequencies((lhs, "a"), (rhs, "b"))
+    return _close_pairs(_rare_grams(lhs, "a", frequencies), _rare_grams(rhs, "b", frequencies), largest)
+
+
 def edit_pairs(left: DataFrame, right: DataFrame, radius: Callable[[Column], Column], largest_radius: int,
-               crowd: int = 1000) -> DataFrame:
+               crowd: int = 1000, fewest: int | None = None) -> DataFrame:
     """All ``(a, b, distance)`` with distance <= radius(length of a); equal strings included.
 
     ``left`` has the distinct strings ``a``, ``right`` the distinct strings ``b``. ``radius`` maps a length to an
     integer and doesn't exceed ``largest_radius``. A segment is joined on while that costs at most ``crowd`` comparisons
-    per string holding it; beyond, its strings join on the finer keys instead.
+    per string holding it; beyond, its strings join on the finer keys instead. ``fewest`` is the number of strings of the
+    smaller side, if known: up to ``crowd`` of them can't make a crowd.
     """
     largest = int(largest_radius)
     k, size = F.col("k"), F.length("a")
     few = lambda x: x["size"] <= _limits(x["k"], largest, _FEW_VARIANTS)
     many = lambda x: x["size"] <= _limits(x["k"], largest, _MANY_VARIANTS)
+    wide = lambda x: x["k"] > _SEGMENT_K
 
     lhs = left.select("a", radius(size).cast("int").alias("k"))
     around = F.sequence(F.greatest(F.length("b") - largest, F.lit(0)), F.length("b") + largest)
@@ -162,10 +182,17 @@ def edit_pairs(left: DataFrame, right: DataFrame, radius: Callable[[Column], Col
     rhs = right.select("b", partners.alias("partners"))
     is_few = size <= _limits(k, largest, _FEW_VARIANTS)
     pairs = _by_deletions(lhs.where(is_few), rhs.select("b", _radii("partners", few).alias("ks")), largest)
-
-    left_cut = _left_segments(lhs.where(~is_few))
-    rest = rhs.select("b", F.filter("partners", lambda x: ~few(x)).alias("partners"))
-    right_cut = _right_segments(rest)
+    lhs = lhs.where(~is_few)
+    rhs = rhs.select("b", F.filter("partners", lambda x: ~few(x)).alias("partners"))
+    if largest > _SEGMENT_K:
+        pairs = pairs.unionByName(_by_grams(
+            lhs.where(k > _SEGMENT_K), rhs.select("b", F.filter("partners", wide).alias("partners")), largest))
+        lhs = lhs.where(k <= _SEGMENT_K)
+        rhs = rhs.select("b", F.filter("partners", lambda x: ~wide(x)).alias("partners"))
+
+    left_cut, right_cut = _left_segments(lhs), _right_segments(rhs)
+    if fewest is not None and fewest <= crowd:
+        return pairs.unionByName(_close_pairs(left_cut, right_cut, largest)).distinct()
     sizes = (left_cut.groupBy("key").agg(F.count(F.lit(1)).alias("n_left"))
              .join(right_cut.groupBy("key").agg(F.count(F.lit(1)).alias("n_right")), "key"))
     n_left, n_right = F.col("n_left"), F.col("n_right")
@@ -176,18 +203,12 @@ def edit_pairs(left: DataFrame, right: DataFrame, radius: Callable[[Column], Col
     pairs = pairs.unionByName(_close_pairs(*[side.join(hot, "key", "left_anti") for side in (left_cut, right_cut)], largest))
     crowded_left = checkpoint(left_cut.join(hot, "key", "left_semi").select("a", "k").distinct())
     crowded_b = right_cut.join(hot, "key", "left_semi").select("b").distinct()
-    crowded_right = checkpoint(rest.join(crowded_b, "b", "left_semi"))
+    crowded_right = checkpoint(rhs.join(crowded_b, "b", "left_semi"))
     is_many = size <= _limits(k, largest, _MANY_VARIANTS)
     pairs = pairs.unionByName(_by_deletions(
         crowded_left.where(is_many), crowded_right.select("b", _radii("partners", many).alias("ks")), largest))
-
-    long_left = crowded_left.where(~is_many).withColumn("q", _gram_size(size, k))
-    if long_left.isEmpty():
-        return pairs.distinct()
-    kinds = F.array_distinct(F.transform(F.filter("partners", lambda x: ~many(x)), lambda x: F.struct(
-        x["k"].alias("k"), _gram_size(x["size"], x["k"]).alias("q"))))
-    long_right = (crowded_right.select("b", F.explode(kinds).alias("x")).select("b", "x.k", "x.q")
-                  .where(F.length("b") >= F.col("q")))
-    frequencies = _gram_frequencies((long_left, "a"), (long_right, "b"))
-    rare = [_rare_grams(side, text, frequencies) for side, text in ((long_left, "a"), (long_right, "b"))]
-    return pairs.unionByName(_close_pairs(*rare, largest)).distinct()
+    crowded_long = crowded_left.where(~is_many)
+    if not crowded_long.isEmpty():
+        others = crowded_right.select("b", F.filter("partners", lambda x: ~many(x)).alias("partners"))
+        pairs = pairs.unionByName(_by_grams(crowded_long, others, largest))
+    return pairs.distinct()

@@ -39,17 +39,18 @@ def fuzzy_match(source: DataFrame, source_col: str, target: DataFrame, target_co
 
     furthest = math.floor((1 - threshold) * math.floor(longest / threshold + 1e-9) + 1e-9)
     nearest = None
-    reach = 1
+    reach, left = 1, pending.count()
     while True:
         radius = min(reach, furthest)
-        pairs = edit_pairs(pending, others, lambda n, r=radius: F.least(limit(n), F.lit(r)), radius, crowd)
+        pairs = edit_pairs(pending, others, lambda n, r=radius: F.least(limit(n), F.lit(r)), radius, crowd, left)
         best = pairs.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("best"))
         step = checkpoint(best.select("a", "best.b", "best.distance"))
         nearest = step if nearest is None else nearest.unionByName(step)
         if radius >= furthest:
             break
         pending = checkpoint(pending.join(step, "a", "left_anti").where(limit(F.length("a")) > radius))
-        if pending.isEmpty():
+        left = pending.count()
+        if left == 0:
             break
         reach *= 2
     scored = nearest.select(F.col("a").alias("source_value"), F.col("b").alias("target_value"), "distance",
@@ -105,13 +106,14 @@ def fuzzy_duplicates(df: DataFrame, col: str, max_distance: int = 3, first_batch
     members = None
     radius = lambda n: F.lit(max_distance)
     while True:
-        batch = pending.where(F.col("place") < share).select("value")
+        batch = checkpoint(pending.where(F.col("place") < share).select("value"))
+        size = batch.count()
         a = batch.select(F.col("value").alias("a"))
-        inside = edit_pairs(a, a.withColumnRenamed("a", "b"), radius, max_distance, crowd).where("a <> b")
+        inside = edit_pairs(a, a.withColumnRenamed("a", "b"), radius, max_distance, crowd, size).where("a <> b")
         leaders = checkpoint(_greedy_leaders(batch, inside))
         rest = pending.join(leaders, "value", "left_anti")
         pairs = edit_pairs(leaders.select(F.col("value").alias("a")), rest.select(F.col("value").alias("b")),
-                           radius, max_distance, crowd)
+                           radius, max_distance, crowd, size)
         first = F.min(F.struct(F.md5("a").alias("h"), F.col("a").alias("leader"), "distance")).alias("best")
         step = checkpoint(pairs.groupBy(F.col("b").alias("value")).agg(first)
                           .select("best.leader", "value", "best.distance"))

@@ -18,7 +18,7 @@ from plumbline.sources.workspace import checkpoint
 
 def default_slices(spark: SparkSession) -> int:
     """As many slices as the session has shuffle partitions, within bounds that keep the totals table small."""
-    return max(1, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(1, min(20_000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def running_totals(df: DataFrame, order_by: Sequence[str], sums: Sequence[str], by: Sequence[str] = (),

@@ -33,7 +33,7 @@ def domains():
 
 
 @pytest.mark.parametrize("name", domains())
-@pytest.mark.parametrize("k, crowd", [(1, 1000), (3, 1000), (3, 1), (5, 1)])
+@pytest.mark.parametrize("k, crowd", [(1, 1000), (3, 1000), (3, 1), (5, 1), (9, 1000)])
 def test_pairs_are_all_found(column, name, k, crowd):
     """A crowd of 1 sends every shared segment down the other ways, which must find the same pairs."""
     values = domains()[name]
