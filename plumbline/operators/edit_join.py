@@ -14,7 +14,7 @@ Every candidate is verified, so the result is exact.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from math import comb
 
 from pyspark.sql import Column, DataFrame
@@ -127,27 +127,47 @@ def _gram_frequencies(*sides: tuple[DataFrame, str]) -> DataFrame:
 
 # --- the join ---------------------------------------------------------------------------------------------------------
 
-def _close_pairs(left: DataFrame, right: DataFrame, largest: int) -> DataFrame:
+def _close_pairs(left: DataFrame, right: DataFrame, largest: int, on: Sequence[str] = ("key",),
+                 small: bool = False) -> DataFrame:
+    """Verified pairs of equal keys. ``small`` says that the left side holds at most ``crowd`` strings."""
     near = F.abs(F.length("a") - F.length("b")) <= F.col("k")
-    return (left.select("a", "k", "key").join(right.select("b", "key"), "key").where(near)
+    lhs = left.select("a", "k", *on)
+    return ((F.broadcast(lhs) if small else lhs).join(right.select("b", *on), list(on)).where(near)
             .withColumn("distance", F.levenshtein("a", "b", largest))  # -1 beyond the largest
             .where((F.col("distance") >= 0) & (F.col("distance") <= F.col("k"))).select("a", "b", "distance"))
 
 
-def _by_deletions(left: DataFrame, right: DataFrame, largest: int) -> DataFrame:
+_TASK = 1_000_000  # comparisons of one key in one task
+
+
+def _spread(left: DataFrame, right: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Add a ``salt`` that splits the work of busy keys: the larger side is dealt out, the smaller one repeated."""
+    work = F.col("n_left") * F.col("n_right")
+    busy = sizes.where(work > _TASK).select("key", F.ceil(work / _TASK).cast("int").alias("parts"),
+                                            (F.col("n_left") > F.col("n_right")).alias("left_is_larger"))
+    out = []
+    for side, text, larger in ((left, "a", F.col("left_is_larger")), (right, "b", ~F.col("left_is_larger"))):
+        dealt = F.array(F.pmod(F.xxhash64(text), F.col("parts")).cast("int"))
+        salts = (F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(larger, dealt)
+                 .otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
+        out.append(side.join(busy, "key", "left").select(*side.columns, F.explode(salts).alias("salt")))
+    return out[0], out[1]
+
+
+def _by_deletions(left: DataFrame, right: DataFrame, largest: int, small: bool) -> DataFrame:
     """Close pairs of ``(a, k)`` and ``(b, ks)``, where ``ks`` lists the radii of possible partners."""
     k = F.col("k")
     lhs = left.select("a", "k", F.explode(_deletions(F.col("a"), k, largest)).alias("key"))
     rhs = right.select("b", F.explode("ks").alias("k")).select(
         "b", F.explode(_deletions(F.col("b"), k, largest)).alias("key"))
-    return _close_pairs(lhs, rhs, largest)
+    return _close_pairs(lhs, rhs, largest, small=small)
 
 
 def _radii(partners: str, keep: Callable[[Column], Column]) -> Column:
     return F.array_distinct(F.transform(F.filter(partners, keep), lambda x: x["k"]))
 
 
-def _by_grams(left: DataFrame, right: DataFrame, largest: int) -> DataFrame:
+def _by_grams(left: DataFrame, right: DataFrame, largest: int, small: bool) -> DataFrame:
     """Close pairs of ``(a, k)`` and ``(b, partners)`` by rare q-grams."""
     k = F.col("k")
     lhs = left.withColumn("q", _gram_size(F.length("a"), k))
@@ -156,19 +176,21 @@ def _by_grams(left: DataFrame, right: DataFrame, largest: int) -> DataFrame:
     rhs = (right.select("b", F.explode(kinds).alias("x")).select("b", "x.k", "x.q")
            .where(F.length("b") >= F.col("q")))
     frequencies = _gram_frequencies((lhs, "a"), (rhs, "b"))
-    return _close_pairs(_rare_grams(lhs, "a", frequencies), _rare_grams(rhs, "b", frequencies), largest)
+    return _close_pairs(_rare_grams(lhs, "a", frequencies), _rare_grams(rhs, "b", frequencies), largest,
+                        small=small)
 
 
 def edit_pairs(left: DataFrame, right: DataFrame, radius: Callable[[Column], Column], largest_radius: int,
-               crowd: int = 1000, fewest: int | None = None) -> DataFrame:
+               crowd: int = 1000, left_rows: int | None = None) -> DataFrame:
     """All ``(a, b, distance)`` with distance <= radius(length of a); equal strings included.
 
     ``left`` has the distinct strings ``a``, ``right`` the distinct strings ``b``. ``radius`` maps a length to an
     integer and doesn't exceed ``largest_radius``. A segment is joined on while that costs at most ``crowd`` comparisons
-    per string holding it; beyond, its strings join on the finer keys instead. ``fewest`` is the number of strings of the
-    smaller side, if known: up to ``crowd`` of them can't make a crowd.
+    per string holding it; beyond, its strings join on the finer keys instead. ``left_rows`` is the number of left strings,
+    if known: up to ``crowd`` of them can't make a crowd, and their keys are few enough to be broadcast.
     """
     largest = int(largest_radius)
+    small = left_rows is not None and left_rows <= crowd
     k, size = F.col("k"), F.length("a")
     few = lambda x: x["size"] <= _limits(x["k"], largest, _FEW_VARIANTS)
     many = lambda x: x["size"] <= _limits(x["k"], largest, _MANY_VARIANTS)
@@ -181,34 +203,37 @@ def edit_pairs(left: DataFrame, right: DataFrame, radius: Callable[[Column], Col
         lambda x: F.abs(x["size"] - F.length("b")) <= x["k"])
     rhs = right.select("b", partners.alias("partners"))
     is_few = size <= _limits(k, largest, _FEW_VARIANTS)
-    pairs = _by_deletions(lhs.where(is_few), rhs.select("b", _radii("partners", few).alias("ks")), largest)
+    pairs = _by_deletions(lhs.where(is_few), rhs.select("b", _radii("partners", few).alias("ks")), largest, small)
     lhs = lhs.where(~is_few)
     rhs = rhs.select("b", F.filter("partners", lambda x: ~few(x)).alias("partners"))
     if largest > _SEGMENT_K:
         pairs = pairs.unionByName(_by_grams(
-            lhs.where(k > _SEGMENT_K), rhs.select("b", F.filter("partners", wide).alias("partners")), largest))
+            lhs.where(k > _SEGMENT_K), rhs.select("b", F.filter("partners", wide).alias("partners")), largest, small))
         lhs = lhs.where(k <= _SEGMENT_K)
         rhs = rhs.select("b", F.filter("partners", lambda x: ~wide(x)).alias("partners"))
 
     left_cut, right_cut = _left_segments(lhs), _right_segments(rhs)
-    if fewest is not None and fewest <= crowd:
-        return pairs.unionByName(_close_pairs(left_cut, right_cut, largest)).distinct()
+    if small:
+        return pairs.unionByName(_close_pairs(left_cut, right_cut, largest, small=True)).distinct()
+    salted = ("key", "salt")
     sizes = (left_cut.groupBy("key").agg(F.count(F.lit(1)).alias("n_left"))
              .join(right_cut.groupBy("key").agg(F.count(F.lit(1)).alias("n_right")), "key"))
     n_left, n_right = F.col("n_left"), F.col("n_right")
-    hot = checkpoint(sizes.where(n_left * n_right > crowd * (n_left + n_right)).select("key"))
+    sizes = checkpoint(sizes.where(n_left * n_right > min(_TASK, crowd)))  # of the keys that may need care
+    hot = sizes.where(n_left * n_right > crowd * (n_left + n_right)).select("key")
     if hot.isEmpty():
-        return pairs.unionByName(_close_pairs(left_cut, right_cut, largest)).distinct()
+        return pairs.unionByName(_close_pairs(*_spread(left_cut, right_cut, sizes), largest, salted)).distinct()
 
-    pairs = pairs.unionByName(_close_pairs(*[side.join(hot, "key", "left_anti") for side in (left_cut, right_cut)], largest))
+    cool = [side.join(hot, "key", "left_anti") for side in (left_cut, right_cut)]
+    pairs = pairs.unionByName(_close_pairs(*_spread(*cool, sizes), largest, salted))
     crowded_left = checkpoint(left_cut.join(hot, "key", "left_semi").select("a", "k").distinct())
     crowded_b = right_cut.join(hot, "key", "left_semi").select("b").distinct()
     crowded_right = checkpoint(rhs.join(crowded_b, "b", "left_semi"))
     is_many = size <= _limits(k, largest, _MANY_VARIANTS)
     pairs = pairs.unionByName(_by_deletions(
-        crowded_left.where(is_many), crowded_right.select("b", _radii("partners", many).alias("ks")), largest))
+        crowded_left.where(is_many), crowded_right.select("b", _radii("partners", many).alias("ks")), largest, False))
     crowded_long = crowded_left.where(~is_many)
     if not crowded_long.isEmpty():
         others = crowded_right.select("b", F.filter("partners", lambda x: ~many(x)).alias("partners"))
-        pairs = pairs.unionByName(_by_grams(crowded_long, others, largest))
+        pairs = pairs.unionByName(_by_grams(crowded_long, others, largest, False))
     return pairs.distinct()

@@ -20,6 +20,11 @@ def with_similarity(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.withColumns({"distance": F.levenshtein(a, b), "similarity": similarity(F.col(a), F.col(b))})
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks to spread strings over: comparing them costs far more than their bytes suggest."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def fuzzy_match(source: DataFrame, source_col: str, target: DataFrame, target_col: str,
                 threshold: float = 0.85, crowd: int = 1000) -> DataFrame:
     """For each distinct source value its nearest target value, if that is similar enough but not equal.
@@ -29,7 +34,8 @@ def fuzzy_match(source: DataFrame, source_col: str, target: DataFrame, target_co
     neighbours never list them all.
     """
     values = source.where(F.col(source_col).isNotNull()).select(F.col(source_col).alias("a")).distinct()
-    others = checkpoint(target.where(F.col(target_col).isNotNull()).select(F.col(target_col).alias("b")).distinct())
+    others = target.where(F.col(target_col).isNotNull()).select(F.col(target_col).alias("b")).distinct()
+    others = checkpoint(others.repartition(_tasks(others)))
     pending = checkpoint(values.join(others, F.col("a") == F.col("b"), "left_anti"))
     longest = pending.agg(F.coalesce(F.max(F.length("a")), F.lit(0))).first()[0]
 
@@ -101,7 +107,7 @@ def fuzzy_duplicates(df: DataFrame, col: str, max_distance: int = 3, first_batch
     """
     values = df.where(F.col(col).isNotNull()).select(F.col(col).alias("value")).distinct()
     place = F.conv(F.substring(F.md5("value"), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
-    pending = checkpoint(values.withColumn("place", place))
+    pending = checkpoint(values.withColumn("place", place).repartition(_tasks(values)))
     share = min(1.0, first_batch / max(1, pending.count()))
     members = None
     radius = lambda n: F.lit(max_distance)

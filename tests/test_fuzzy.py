@@ -123,3 +123,22 @@ def test_column_mapping(spark):
 def test_luhn(spark):
     df = spark.createDataFrame([("4111111111111111",), ("4111111111111112",), ("79927398713",)], "d string")
     assert [r[0] for r in df.select(luhn_valid(F.col("d"))).collect()] == [True, False, True]
+
+
+def test_busy_keys_are_split_over_tasks(column, monkeypatch):
+    from plumbline.operators import edit_join
+    monkeypatch.setattr(edit_join, "_TASK", 5)
+    values = domains()["addresses"]
+    want = sum(distance(a, b) <= 3 for i, a in enumerate(values) for b in values[i + 1:])
+    assert fuzzy.fuzzy_pairs(column(values, kind="string"), "v", 3).count() == want
+
+
+def test_a_small_left_side_is_broadcast(spark):
+    from plumbline.operators.edit_join import edit_pairs
+    left = spark.createDataFrame([(v,) for v in domains()["addresses"][:20]], "a string")
+    right = spark.createDataFrame([(v,) for v in domains()["addresses"]], "b string")
+    got = rows(edit_pairs(left, right, lambda n: F.lit(3), 3, left_rows=20))
+    want = [(a, b, distance(a, b)) for a in domains()["addresses"][:20] for b in domains()["addresses"] if distance(a, b) <= 3]
+    assert got == sorted(want, key=str)
+    plan = edit_pairs(left, right, lambda n: F.lit(3), 3, left_rows=20)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
