@@ -53,6 +53,14 @@ def text_sql(value: str, kind: T.DataType, *, float_scale: int | None = None, co
     return f"cast({value} as string)"
 
 
+def short_key_sql(text: str) -> str:
+    """SQL for a key that tells texts apart and is never long: the text itself, or its hash beyond 32 characters.
+
+    Grouping on it keeps long texts out of the shuffle.
+    """
+    return f"if(length({text}) > 32, concat('#', md5({text})), concat('=', {text}))"
+
+
 def canonical_text(name: str, kind: T.DataType, **options) -> Column:
     """Text of a column's values."""
     return F.expr(text_sql(f"`{name}`", kind, **options))

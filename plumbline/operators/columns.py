@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.hashing import short_key_sql
 from plumbline.functions.text import FORMATS, has_outer_space
 from plumbline.functions.verdicts import FAIL, HIGH, MEDIUM, WARN, change_pct, share_pct, verdict
 from plumbline.operators.profile import STATS, column_stats, text_columns
@@ -67,12 +68,14 @@ def range_drift(profile: DataFrame, max_mean_pct: float = 5.0) -> DataFrame:
 def whitespace_check(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Rows and distinct values with leading or trailing white space, per text column."""
     cols = list(cols or text_columns(df))
-    long = df.select(*cols).unpivot([], cols, "column", "value").where(F.col("value").isNotNull())
-    values = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    spaced = has_outer_space(F.col("value"))
-    measured = values.groupBy("column").agg(
-        F.sum("n").alias("checked_rows"), F.coalesce(F.sum(F.when(spaced, F.col("n"))), F.lit(0)).alias("spaced_rows"),
-        F.count_if(spaced).alias("spaced_values"))
+    spaced = [F.struct(F.lit(c).alias("column"), F.count(f"`{c}`").alias("checked_rows"),
+                       F.count_if(has_outer_space(F.col(f"`{c}`"))).alias("spaced_rows")) for c in cols]
+    row_counts = df.agg(F.array(*spaced).alias("rows")).select(F.inline("rows"))
+    # only the faulty values are shuffled
+    faulty = df.select(*cols).unpivot([], cols, "column", "value").where(has_outer_space(F.col("value")))
+    values = faulty.select("column", F.expr(short_key_sql("value")).alias("key")).distinct()
+    value_counts = values.groupBy("column").agg(F.count(F.lit(1)).alias("spaced_values"))
+    measured = row_counts.join(value_counts, "column", "left").fillna(0, ["spaced_values"])
     return verdict(measured, (F.col("spaced_rows") > 0, FAIL, MEDIUM))
 
 
@@ -84,11 +87,11 @@ def format_consistency(df: DataFrame, cols: Sequence[str] | None = None, formats
     """
     cols, formats = list(cols or text_columns(df)), formats or FORMATS
     long = df.select(*cols).unpivot([], cols, "column", "value").where(F.col("value").isNotNull())
+    flags = {name: F.col("value").rlike(pattern).cast("int").alias(f"is_{name}") for name, pattern in formats.items()}
+    long = long.select("column", F.expr(short_key_sql("value")).alias("key"), *flags.values())
     if distinct:
         long = long.distinct()
-    grid = [F.struct(F.lit(name).alias("format"),
-                     F.avg(F.col("value").rlike(pattern).cast("int")).alias("match_rate"))
-            for name, pattern in formats.items()]
+    grid = [F.struct(F.lit(name).alias("format"), F.avg(f"is_{name}").alias("match_rate")) for name in flags]
     measured = (long.groupBy("column").agg(F.count(F.lit(1)).alias("checked"), F.array(*grid).alias("grid"))
                 .select("column", "checked", F.inline("grid")))
     mixed = (F.col("match_rate") > low) & (F.col("match_rate") < high)

@@ -111,9 +111,10 @@ def frequency_shift(source: DataFrame, target: DataFrame, col: str, top_fetch: i
     """
     sides = []
     for name, side in (("source", source), ("target", target)):
-        top = top_values(side, col, top_fetch)
-        whole = (top.agg(F.sum("n")) if denominator == "fetched" else side.agg(F.count(col))).scalar()
-        shown = top.orderBy(F.desc("n"), "value").limit(top_n)
+        ranked = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("rank"), "value", "n")))  # top_fetch values
+        top = top_values(side, col, top_fetch).agg(ranked.alias("top"), F.sum("n").alias("fetched"))
+        whole = F.col("fetched") if denominator == "fetched" else side.agg(F.count(col)).scalar()
+        shown = top.select("fetched", F.inline(F.slice("top", 1, top_n)))
         sides.append(shown.select(F.col("value").cast("string").alias("value"), F.lit(name).alias("side"),
                                   (F.col("n") / whole).alias("frequency")))
     pick = {name: F.coalesce(F.max(F.when(F.col("side") == name, F.col("frequency"))), F.lit(0.0))

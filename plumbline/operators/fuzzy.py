@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.hashing import canonical_text
+from plumbline.functions.hashing import canonical_text, short_key_sql
 from plumbline.functions.text import name_similarity, similarity
 from plumbline.functions.verdicts import FAIL, HIGH, MEDIUM, WARN, verdict
 from plumbline.operators.edit_join import edit_pairs
@@ -164,7 +164,7 @@ def _shared_values(source: DataFrame, target: DataFrame) -> tuple[DataFrame, Dat
         kinds = {f.name: f.dataType for f in side.schema.fields}
         texts = side.select(*[canonical_text(c, kinds[c]).alias(c) for c in side.columns])
         sides.append(texts.unpivot([], side.columns, "column", "value").where(F.col("value").isNotNull())
-                     .select(F.lit(name).alias("side"), "column", "value"))
+                     .select(F.lit(name).alias("side"), "column", F.expr(short_key_sql("value")).alias("value")))
     masks = _masks("source", source.columns) | _masks("target", target.columns)
     held = sides[0].unionByName(sides[1]).groupBy("value").agg(*[mask.alias(name) for name, mask in masks.items()])
     counts = checkpoint(held.groupBy(*masks).agg(F.count(F.lit(1)).alias("n")))

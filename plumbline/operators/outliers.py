@@ -35,23 +35,25 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5, method: str =
 
 def iqr_outliers(df: DataFrame, col: str, k: float = 1.5, method: str = "midpoint", approx: bool = False) -> DataFrame:
     """The rows whose value lies outside the fences, with the fences."""
-    bounds = iqr_bounds(df, [col], k, method, approx)
-    lower, upper = (bounds.select(b).scalar() for b in ("lower_bound", "upper_bound"))
+    fences = iqr_bounds(df, [col], k, method, approx).select(F.array("lower_bound", "upper_bound")).scalar()
     value = F.col(col).cast("double")
-    return df.withColumns({"lower_bound": lower, "upper_bound": upper}).where(
-        (value < F.col("lower_bound")) | (value > F.col("upper_bound")))
+    fenced = df.withColumn("_fences", fences).withColumns({
+        "lower_bound": F.col("_fences")[0], "upper_bound": F.col("_fences")[1]}).drop("_fences")
+    return fenced.where((value < F.col("lower_bound")) | (value > F.col("upper_bound")))
 
 
 def zscore(df: DataFrame, col: str, group: Sequence[str] = (), name: str = "z_score") -> DataFrame:
     """Append (value - mean) / population deviation, 0 where the deviation is 0; over all rows or per group."""
     value = F.col(col).cast("double")
-    moments = [F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd")]
+    mean, deviation = F.avg(value), F.stddev_pop(value)
     if group:
-        stats = df.groupBy(*group).agg(*moments)
+        stats = df.groupBy(*group).agg(mean.alias("_mean"), deviation.alias("_sd"))
         stats = stats.select(*[F.col(g).alias(f"_g_{g}") for g in group], "_mean", "_sd")
         joined = df.join(stats, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]).drop(*[f"_g_{g}" for g in group])
     else:
-        joined = df.withColumns({"_mean": df.agg(moments[0]).scalar(), "_sd": df.agg(moments[1]).scalar()})
+        moments = df.agg(F.array(mean, deviation)).scalar()  # both from one scan
+        joined = df.withColumn("_moments", moments).withColumns({
+            "_mean": F.col("_moments")[0], "_sd": F.col("_moments")[1]}).drop("_moments")
     z = F.when(F.col("_sd") == 0, F.lit(0.0)).otherwise((value - F.col("_mean")) / F.col("_sd"))
     return joined.withColumn(name, z).drop("_mean", "_sd")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.hashing import text_sql
+from plumbline.functions.hashing import short_key_sql, text_sql
 from plumbline.operators.ordering import quantiles, value_counts
 
 _ORDERED = (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
@@ -54,10 +54,13 @@ def _value_measures(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     for kind, names in by_kind.values():
         nested = not isinstance(kind, T.AtomicType) or isinstance(kind, T.VariantType)
         texts = [f"{text_sql(f'`{c}`', kind) if nested else f'cast(`{c}` as {kind.simpleString()})'} as `{c}`" for c in names]
-        value = T.StringType() if nested else kind
-        counts = (df.selectExpr(*texts).unpivot([], names, "column", "value").where("value is not null")
-                  .groupBy("column", "value").agg(F.expr("count(1)").alias("n"))
-                  .selectExpr("column", "n", f"length({text_sql('value', value)}) as size"))
+        long = df.selectExpr(*texts).unpivot([], names, "column", "value").where("value is not null")
+        if nested or isinstance(kind, T.StringType):
+            counts = (long.selectExpr("column", f"{short_key_sql('value')} as key", "length(value) as size")
+                      .groupBy("column", "key", "size").agg(F.expr("count(1)").alias("n")))
+        else:
+            counts = (long.groupBy("column", "value").agg(F.expr("count(1)").alias("n"))
+                      .selectExpr("column", "n", f"length({text_sql('value', kind)}) as size"))
         parts.append(counts.groupBy("column").agg(
             F.expr("count(1)").alias("distinct_count"), F.expr("min(size)").alias("min_length"),
             F.expr("max(size)").alias("max_length"), F.expr("sum(size * n) / sum(n)").alias("avg_length")))

@@ -14,6 +14,7 @@ _JDBC = {
     "sqlserver": ("jdbc:sqlserver", "com.microsoft.sqlserver.jdbc.SQLServerDriver"),
     "mysql": ("jdbc:mysql", "com.mysql.cj.jdbc.Driver"),
 }
+_KINDS = ("array", "boolean", "null", "number", "object", "string")
 _FILES = ("parquet", "orc", "csv", "json")
 
 
@@ -73,7 +74,7 @@ def document_fields(df: DataFrame, document: str) -> DataFrame:
                           F.when(kind == "string", F.length(text)).alias("length"))
             .groupBy("field")
             .agg(F.count(F.lit(1)).alias("present"), F.count_if(F.col("kind") == "null").alias("nulls"),
-                 F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("types"),
+                 F.concat_ws("|", *[F.when(F.bool_or(F.col("kind") == t), t) for t in _KINDS]).alias("types"),
                  F.max("length").alias("max_length"), F.min("pos").alias("ordinal")))
     documents = df.agg(F.count(document)).scalar()
     return seen.withColumns({"documents": documents, "nullable": (F.col("present") < documents) | (F.col("nulls") > 0)})
