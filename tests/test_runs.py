@@ -113,9 +113,9 @@ def test_two_increments_equal_one_full_run(spark, pair):
 
 
 def test_increment_bounds_reach_the_scan(spark, sf):
-    df = increments.incremental_slice(spark.read.parquet(f"{sf}/orders.parquet"), "o_orderkey", "100", "200")
+    df = increments.incremental_slice(spark.read.parquet(f"{sf}/events.parquet"), "event_id", "100", "200")
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThan(o_orderkey,100)" in plan and "LessThanOrEqual(o_orderkey,200)" in plan
+    assert "GreaterThan(event_id,100)" in plan and "LessThanOrEqual(event_id,200)" in plan
     assert df.count() == 100
 
 
