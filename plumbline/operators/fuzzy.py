@@ -203,7 +203,3 @@ def column_mapping(source: DataFrame, target: DataFrame, min_confidence: float =
     result = best.withColumn("mapped", mapped)
     return verdict(result, (~F.col("mapped"), FAIL, HIGH), (F.col("source_type") != F.col("target_type"), FAIL, HIGH),
                    (F.col("confidence") < min_confidence, WARN, MEDIUM))
-
-
-__all__: Sequence[str] = ["column_mapping", "fuzzy_duplicates", "fuzzy_groups", "fuzzy_match", "fuzzy_pairs",
-                          "with_similarity"]

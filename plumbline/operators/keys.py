@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.verdicts import FAIL, HIGH, MEDIUM, SKIPPED, verdict
-from plumbline.operators.pairing import side_counts, tagged_union
+from plumbline.operators.pairing import side_counts
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> DataFrame:
@@ -126,7 +126,3 @@ def missing_rows(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> D
     """Whole source rows whose key isn't in the target (swap the sides for the extra rows)."""
     others = target.select(*[F.col(k).alias(f"_t_{k}") for k in keys])
     return source.join(others, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys], "left_anti")
-
-
-__all__ = ["Constraints", "constraint_check", "duplicate_excess", "duplicate_keys", "key_presence", "missing_rows",
-           "orphaned_keys", "orphaned_rows", "reconcile_keys", "tagged_union"]

@@ -70,6 +70,9 @@ def _value_measures(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return whole
 
 
+# Tested before the cast, since a failing cast is far more costly than the pattern.
+_NUMERIC_TEXT = r"^[ ]*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?[ ]*$"
+
 STATS = ("total_count", "null_count", "min_value", "max_value", "mean", "stddev", "min_length", "max_length",
          "avg_length", "distinct_count")
 _FROM_VALUES = STATS[6:]
@@ -92,8 +95,9 @@ def column_stats(df: DataFrame, cols: Sequence[str] | None = None, *, measures:
         least, most = ((text_sql(f"{m}({value})", kind) for m in ("min", "max")) if isinstance(kind, _ORDERED)
                        else ("cast(null as string)",) * 2)
         number = (f"cast({value} as double)" if isinstance(kind, T.NumericType)
-                  else f"try_cast({value} as double)" if isinstance(kind, T.StringType) else "cast(null as double)")
-        every = {"total_count": "count(1)", "null_count": f"count_if({value} is null)", "min_value": least,
+                  else f"if({value} rlike '{_NUMERIC_TEXT}', try_cast({value} as double), null)"
+                  if isinstance(kind, T.StringType) else "cast(null as double)")
+        every = {"total_count": "count(1)", "null_count": f"count(1) - count({value})", "min_value": least,
                  "max_value": most, "mean": f"avg({number})", "stddev": f"stddev_samp({number})",
                  "min_length": f"min({size})", "max_length": f"max({size})", "avg_length": f"avg({size})",
                  "distinct_count": f"approx_count_distinct({text_sql(value, kind)}, {rsd})"}

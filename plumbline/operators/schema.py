@@ -33,7 +33,7 @@ def column_catalog(df: DataFrame, declared: dict[str, int] | None = None) -> Dat
         measures[f.name] = {
             "ordinal": str(ordinal), "data_type": f"'{f.dataType.simpleString()}'",
             "declared_length": nothing if length is None else str(length), "total_count": "count(1)",
-            "null_count": f"count_if({value} is null)",
+            "null_count": f"count(1) - count({value})",
             "max_length": f"max(length({value}))" if isinstance(f.dataType, T.StringType) else nothing,
             "max_digits": digits, "max_scale": scale}
     return per_column(df, measures)

@@ -20,6 +20,19 @@ def test_column_stats(spark):
     assert got["d"]["distinct_count"] == 1
 
 
+def test_only_numeric_text_has_a_mean(spark):
+    df = spark.createDataFrame([("1.5",), (" -2e1 ",), ("1-URGENT",), ("abc",), (None,), (".5",)], "s string")
+    assert one(profile.column_stats(df))["mean"] == pytest.approx((1.5 - 20 + 0.5) / 3)
+
+
+def test_long_texts_stay_apart(spark):
+    long = "x" * 40
+    df = spark.createDataFrame([(long,), (long,), (long + "y",), (" " + long,), ("x",)], "s string")
+    found = one(profile.column_stats(df))
+    assert (found["distinct_count"], found["max_length"], found["min_length"]) == (4, 41, 1)
+    assert one(columns.whitespace_check(df))["spaced_values"] == 1
+
+
 def test_column_stats_of_nothing(spark):
     df = spark.createDataFrame([(None, None)], "i int, s string")
     got = {r["column"]: r.asDict() for r in profile.column_stats(df).collect()}
