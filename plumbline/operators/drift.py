@@ -59,20 +59,19 @@ def chi_square(source: DataFrame, target: DataFrame, cols: Sequence[str], alpha:
     sides = [side.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
              .unpivot([], list(cols), "column", "value").where(F.col("value").isNotNull()) for side in (source, target)]
     counts = side_counts(*sides, ["column", "value"])
-    # sum((o - s*e)^2 / (s*e)) expands to sums that need no second pass once the scale s is known
-    o, e = F.col("n_target").cast("double"), F.col("n_source").cast("double")
-    expected = F.col("n_source") > 0
-    sums = counts.groupBy("column").agg(
-        F.count(F.lit(1)).alias("categories"), F.sum("n_source").alias("n_source"), F.sum("n_target").alias("n_target"),
-        F.coalesce(F.sum(F.when(expected, o * o / e)), F.lit(0.0)).alias("ratio"),
-        F.coalesce(F.sum(F.when(expected, o)), F.lit(0.0)).alias("seen"),
-        F.coalesce(F.sum(F.when(expected, F.pow(o - e, F.lit(2.0)) / e)), F.lit(0.0)).alias("unscaled"))
-    scale = F.col("n_target") / F.col("n_source")
-    scaled = F.when((F.col("n_source") > 0) & (F.col("n_target") > 0),
-                    F.col("ratio") / scale - 2 * F.col("seen") + scale * F.col("n_source")).otherwise(0.0)
-    statistic = F.greatest(scaled, F.lit(0.0)) if scale_expected else F.col("unscaled")
-    measured = sums.select("column", "categories", "n_source", "n_target", statistic.alias("statistic"),
-                           (F.col("categories") - 1).alias("degrees_of_freedom"))
+    totals = counts.groupBy("column").agg(F.count(F.lit(1)).alias("categories"), F.sum("n_source").alias("all_source"),
+                                          F.sum("n_target").alias("all_target"))
+    observed = F.col("n_target").cast("double")
+    expected = F.col("n_source").cast("double")
+    if scale_expected:
+        expected = expected * F.col("all_target") / F.col("all_source")
+    counted = (F.col("n_source") > 0) & ((F.col("all_target") > 0) | F.lit(not scale_expected))
+    # one row of totals per column; the counts are shuffled once and read twice
+    terms = counts.join(F.broadcast(totals), "column").groupBy("column").agg(
+        F.max("categories").alias("categories"), F.max("all_source").alias("n_source"), F.max("all_target").alias("n_target"),
+        F.coalesce(F.sum(F.when(counted, F.pow(observed - expected, F.lit(2.0)) / expected)), F.lit(0.0))
+        .alias("statistic"))
+    measured = terms.withColumn("degrees_of_freedom", F.col("categories") - 1)
     measured = measured.withColumn("p_value", chi_square_p_value(F.col("statistic"), F.col("degrees_of_freedom")))
     return verdict(measured.withColumn("significant", F.col("p_value") < alpha), (F.col("significant"), FAIL, HIGH))
 

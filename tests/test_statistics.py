@@ -57,6 +57,9 @@ def test_chi_square_literals(spark):
     moved = one(drift.chi_square(counts([25] * 4), counts([50, 10, 10, 30]), ["c"], scale_expected=False))
     assert moved["statistic"] == pytest.approx(44) and moved["degrees_of_freedom"] == 3
     assert moved["p_value"] == pytest.approx(1.5e-9, rel=0.05) and moved["status"] == "FAIL"
+    gone = one(drift.chi_square(counts([2, 3]), counts([2, 3]).limit(0), ["c"], scale_expected=False))
+    assert gone["statistic"] == 5
+    assert one(drift.chi_square(counts([2, 3]), counts([2, 3]).limit(0), ["c"]))["statistic"] == 0
 
 
 @pytest.mark.parametrize("statistic, df, want", [
