@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import jaccard_join
+from plumbline.llm import jaccard_join, secret_ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_secret_ledger")
+def _(spark, d):
+    return secret_ledger.secret_report(table(spark, d, "documents"))
+
+
 @query("op2_jaccard_join")
 def _(spark, d):
     return jaccard_join.jaccard_components(table(spark, d, "documents"))
