@@ -38,3 +38,31 @@ FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id"""
 
 
 ORACLES["op1_secret_ledger"] = _secrets()
+
+ORACLES["op7_url_filter"] = """WITH rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'),
+  ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'),
+  ('block', 'net', '/fr/')),
+u AS (SELECT page_id, url, row_number() OVER () AS r, CASE WHEN instr(url, '://') > 0
+  THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+v AS (SELECT page_id, r, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+fits AS (SELECT v.r, h || p AS rule, verdict, row_number() OVER (PARTITION BY v.r ORDER BY length(h || p) DESC,
+    length(h) DESC, verdict DESC) AS place
+  FROM v JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM v LEFT JOIN fits ON v.r = fits.r AND place = 1"""
+
+ORACLES["op6_poisson_mixing"] = """WITH sizes AS (SELECT source, sum(greatest(coalesce(length(text), 0), 1)) AS size
+  FROM documents GROUP BY source),
+rates AS (SELECT source, pow(size::DOUBLE, 0.5) / sum(pow(size::DOUBLE, 0.5)) OVER () * sum(size) OVER () / size AS rate
+  FROM sizes),
+parts AS (SELECT source, rate, greatest(ceil(rate / 8.0), 1)::BIGINT AS steps FROM rates),
+terms AS (SELECT source, k, exp(-rate / steps) * pow(rate / steps, k) / factorial(k::INTEGER) AS p
+  FROM parts, (SELECT unnest(range(0, 33)) AS k)),
+cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS up_to FROM terms),
+draws AS (SELECT doc_id, source, i, ('0x' || substr(md5('11|' || doc_id || '|' || i), 1, 13))::BIGINT / pow(2, 52) AS u
+  FROM documents JOIN parts USING (source), unnest(range(1, steps + 1)) AS t(i)),
+counts AS (SELECT doc_id, count(k) AS n FROM draws LEFT JOIN cdf ON draws.source = cdf.source AND up_to <= u
+  GROUP BY doc_id)
+SELECT d.*, copy, md5('order11|' || doc_id || '|' || copy) AS shuffle_key
+FROM documents d JOIN counts USING (doc_id), unnest(range(0, n)) AS t(copy)"""

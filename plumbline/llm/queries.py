@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import jaccard_join, secret_ledger
+from plumbline.llm import (decision_list, decontaminate, jaccard_join, mixing, secret_ledger, url_filter)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,3 +31,28 @@ def _(spark, d):
 @query("op2_jaccard_join")
 def _(spark, d):
     return jaccard_join.jaccard_components(table(spark, d, "documents"))
+
+
+@query("op3_string_tiling")
+def _(spark, d):
+    return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op5_decision_list")
+def _(spark, d):
+    return decision_list.judge(table(spark, d, "documents"), table(spark, d, "labels"))[0]
+
+
+@query("op6_poisson_mixing")
+def _(spark, d):
+    return mixing.replicate(table(spark, d, "documents"))
+
+
+#: Verdict, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query("op7_url_filter")
+def _(spark, d):
+    return url_filter.judge(table(spark, d, "pages"), url_filter.rules_table(spark, URL_RULES))
