@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import (decision_list, decontaminate, jaccard_join, mixing, secret_ledger, url_filter)
+from plumbline.llm import (cross_parsing, decision_list, decontaminate, feistel_shards, jaccard_join, mixing,
+                           secret_ledger, url_filter)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,3 +57,13 @@ URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
 @query("op7_url_filter")
 def _(spark, d):
     return url_filter.judge(table(spark, d, "pages"), url_filter.rules_table(spark, URL_RULES))
+
+
+@query("op9_feistel_shards")
+def _(spark, d):
+    return feistel_shards.materialise(table(spark, d, "documents"))
+
+
+@query("op10_cross_parsing")
+def _(spark, d):
+    return cross_parsing.identify(table(spark, d, "documents"))
