@@ -223,10 +223,12 @@ def judge(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DecisionList]:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, unchanged, in one pass over the texts once the rules are learned."""
+    """The rows of ``docs`` that the rules keep, unchanged. Texts are read once: their statistics are written beside
+    them, the rules are learned from the statistics' columns alone, and then the kept rows are read back."""
     known = labels.where("quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
-    seen = with_statistics(docs.join(known, "doc_id", "left_semi")).where("NOT base_failed")
-    rules = learn(seen.join(known, "doc_id"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text")
-    good = with_statistics(packed).where(~F.col("base_failed") & rules.rule().isNull())
-    return good.select(*[F.col("doc_id")[c].alias(c) for c in docs.columns])
+    written = stored(with_statistics(packed).withColumnRenamed("doc_id", "row"), "statistics")
+    seen = written.where("NOT base_failed").select(F.col("row.doc_id").alias("doc_id"), *FEATURES)
+    rules = learn(seen.join(known, "doc_id"))
+    good = written.where(~F.col("base_failed") & rules.rule().isNull())
+    return good.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import (cross_parsing, decision_list, decontaminate, feistel_shards, jaccard_join, mixing,
-                           secret_ledger, url_filter)
+from plumbline.llm import (cross_parsing, decision_list, decontaminate, feistel_shards, html_text, jaccard_join,
+                           mixing, nbsvm, secret_ledger, url_filter)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,6 +39,11 @@ def _(spark, d):
     return decontaminate.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+@query("op4_nbsvm")
+def _(spark, d):
+    return nbsvm.classify(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query("op5_decision_list")
 def _(spark, d):
     return decision_list.judge(table(spark, d, "documents"), table(spark, d, "labels"))[0]
@@ -59,6 +64,11 @@ def _(spark, d):
     return url_filter.judge(table(spark, d, "pages"), url_filter.rules_table(spark, URL_RULES))
 
 
+@query("op8_html_text")
+def _(spark, d):
+    return html_text.extract(table(spark, d, "pages"))
+
+
 @query("op9_feistel_shards")
 def _(spark, d):
     return feistel_shards.materialise(table(spark, d, "documents"))
