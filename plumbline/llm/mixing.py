@@ -12,8 +12,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import salted_join
+from plumbline.llm.shared import salted_join, stored
 
+#: Rates of up to so many sources (some 5 MB) are broadcast; more are joined by a salted shuffle.
+BROADCAST_SOURCES = 50_000
 #: Largest mean drawn at once; greater rates are sums of independent draws of at most this mean.
 STEP = 8.0
 #: The chance of more than this many at a mean of STEP is below the resolution of the draw.
@@ -71,7 +73,11 @@ def replicate(docs: DataFrame, weights: Mapping[str, float] | None = None, seed:
     rates = (target_rates(docs, weights, temperature, total)
              .select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_source"),
                      F.col("rate").alias("_rate")))
-    rated = salted_join(keyed, rates, "_source", "doc_id")
+    rates = stored(rates, "rates")
+    if rates.count() <= BROADCAST_SOURCES:
+        rated = keyed.join(F.broadcast(rates), "_source")
+    else:
+        rated = salted_join(keyed, rates, "_source", "doc_id")
     steps = F.greatest(F.ceil(F.col("_rate") / STEP), F.lit(1))
     draws = F.transform(F.sequence(F.lit(1), steps), lambda i: poisson_quantile(
         uniform(str(seed), F.col("doc_id"), i), F.col("_rate") / steps).cast("long"))
