@@ -153,7 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sam
     if last is None:
         return None
     rows = (docs.select("doc_id", F.col("text").cast("string").alias("text"))
-            .join(known.select("doc_id", "y", (F.col("draw") <= last).alias("pick")), "doc_id")
+            # by shuffle whatever the number of labels: the same plan at every size
+            .join(known.select("doc_id", "y", (F.col("draw") <= last).alias("pick")).hint("merge"), "doc_id")
             .select("text", "y", "pick"))
     counted = stored(rows.mapInArrow(_count, "kind string, y int, chunk int, ids binary"), "class-counts")
     counts = np.zeros((2, SIZE))
