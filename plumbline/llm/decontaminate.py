@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import salted_join, stored
-from plumbline.llm.words import windows_of, words_of
+from plumbline.llm.words import small, windows_of, words_of
 
 #: Bits of the filter over the items' seeds: 2 MB whatever the size of the benchmark.
 FILTER_BITS = 1 << 24
@@ -67,7 +67,7 @@ def _seeds(seed: int, keep_all: bool, table=None):
     """Distinct seed hashes of each text; of documents only those the filter of the items knows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if keep_all else np.unpackbits(np.frombuffer(table.value, np.uint8)).view(bool)
-        for batch in batches:
+        for batch in small(batches, 1):
             words, offsets = words_of(batch.column(1))
             windows = windows_of(words, seed)
             hit = np.ones(len(windows), bool) if keep_all else known[(windows & _MASK).astype(np.int64)]
@@ -90,7 +90,7 @@ def _tiles(seed: int):
     kind = pa.list_(pa.struct([("at", pa.int32()), ("item_at", pa.int32()), ("words", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 2):
             documents, d = words_of(batch.column(2))
             items, t = words_of(batch.column(3))
             found, covered, sizes = [], [], []

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
 from plumbline.llm.shared import stored
-from plumbline.llm.words import shingle_sets
+from plumbline.llm.words import shingle_sets, small
 from plumbline.sources.workspace import checkpoint
 
 #: Counters of the frequency table: 8 MB whatever the size of the corpus.
@@ -41,7 +41,7 @@ def _scan(size: int):
     """One pass over the texts: a row per document with the digest of its set, and the counters of the task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in small(batches, 1):
             sizes, digests = [], []
             for found in shingle_sets(batch.column(1), size):
                 sizes.append(len(found))
@@ -97,7 +97,7 @@ def _prefixes(size: int, percent: int, table):
         rank, excess = table.value
         seen: dict[bytes, None] = {}
         names = ["token", "doc_id", "n", "at", "need", "crowd"]
-        for batch in batches:
+        for batch in small(batches, 1):
             tokens, ids, sizes, ats, needs, crowds, lengths = [], [], [], [], [], [], []
 
             def flush() -> pa.RecordBatch:
@@ -143,7 +143,7 @@ def _verify(size: int, percent: int):
     """Keeps the pairs of texts whose sets are similar; pairs of one left document lie together."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in small(batches, 3):
             a, b = batch.column(0), batch.column(1)
             rights = shingle_sets(batch.column(3), size)
             keep = []

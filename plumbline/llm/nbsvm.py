@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import fold, stored
-from plumbline.llm.words import buffer_of, mix, windows_of, words_of
+from plumbline.llm.words import buffer_of, mix, small, windows_of, words_of
 
 #: Hashed features; counters and weights have this size whatever the corpus.
 SIZE = 1 << 17
@@ -46,7 +46,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each class with each feature, by chunks of features, and the features of sampled documents."""
     counts = np.zeros((2, SIZE), np.int64)
     names = ["kind", "y", "chunk", "ids"]
-    for batch in batches:
+    for batch in small(batches, 0):
         ys, picked, ids = batch.column(1).to_pylist(), batch.column(2).to_pylist(), []
         for y, pick, found in zip(ys, picked, features(batch.column(0)), strict=True):
             counts[y, found] += 1
@@ -133,7 +133,7 @@ def _fit(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa.Re
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scaled, squares, a, b = model.value
-        for batch in batches:
+        for batch in small(batches, 1):
             margins = np.array([scaled[x].sum() / max(1e-9, float(np.sqrt(squares[x].sum())))
                                 for x in features(batch.column(1))])
             yield pa.RecordBatch.from_arrays([

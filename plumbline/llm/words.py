@@ -43,6 +43,18 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def small(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of about ``most`` bytes of text in a column (a longer text is a slice of its own), so
+    that arrays by word stay small however long the texts of a batch are."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(sizes, (int(sizes[at - 1]) if at else 0) + most, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column and each text's offsets in them; nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):
