@@ -37,12 +37,17 @@ def volume_anomaly(df: DataFrame, ts: str, bucket: str = "1 day", preceding: int
                    min_history: int = 3, by: Sequence[str] = ()) -> DataFrame:
     """Row count per time bucket against the mean and sample deviation of the ``preceding`` buckets before it.
 
-    Each non-empty bucket hands its count to the buckets after it, so no ordered pass over all buckets is needed.
-    Buckets with less than ``min_history`` earlier ones are skipped.
+    Buckets between the first and the last (of each group) that hold no rows count as 0, so an outage shows and is part
+    of the history after it. Each bucket hands its count to those after it, so no ordered pass over all buckets is
+    needed. Buckets with less than ``min_history`` earlier ones are skipped.
     """
     counts = (df.where(F.col(ts).isNotNull())
               .groupBy(*by, F.window(ts, bucket)["start"].alias("bucket")).agg(F.count(F.lit(1)).alias("n_rows")))
     step = F.expr(f"interval {bucket}")
+    every = counts.groupBy(*by).agg(F.min("bucket").alias("_low"), F.max("bucket").alias("_high")).where(
+        "_low IS NOT NULL").select(*by, F.explode(F.sequence("_low", "_high", step)).alias("bucket"))
+    counts = (counts.unionByName(every.withColumn("n_rows", F.lit(0).cast("long")))
+              .groupBy(*by, "bucket").agg(F.sum("n_rows").alias("n_rows")))
     later = F.transform(F.sequence(F.lit(1), F.lit(preceding)), lambda i: F.col("bucket") + step * i)
     handed = counts.select(*by, F.explode(later).alias("bucket"), F.lit(None).cast("long").alias("own"),
                            F.col("n_rows").alias("earlier"))

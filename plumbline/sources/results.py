@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.plans.results import RULE_RESULTS_SCHEMA
+
 
 def write_results(results: DataFrame, path: str) -> None:
     """Write rule results by run. Writing a run again replaces that run only."""
@@ -13,8 +15,8 @@ def write_results(results: DataFrame, path: str) -> None:
 
 
 def read_results(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
-    """Rule results of one run, or of all."""
-    results = spark.read.option("basePath", path).parquet(path).withColumn("run_id", F.col("run_id").cast("string"))
+    """Rule results of one run, or of all. Run ids are text as written: ``007`` isn't read as a number."""
+    results = spark.read.schema(RULE_RESULTS_SCHEMA).option("basePath", path).parquet(path)
     return results if run_id is None else results.where(F.col("run_id") == run_id)
 
 

@@ -164,3 +164,21 @@ def test_a_clean_pair_goes_live(spark, pair):
     found = validate(specs(source, source.repartition(3)), "r3", "2002-01-01", agents=["table_profiling", "reconciliation"])
     assert found.where("status in ('FAIL', 'WARN')").count() == 0
     assert one(rollup.go_live(found))["recommendation"] == "PROCEED"
+
+
+def test_null_keys_and_extra_rows_of_an_increment(spark):
+    source = spark.createDataFrame([(1,), (2,), (None,)], "k long")
+    target = spark.createDataFrame([(1,), (2,), (9,)], "k long")
+    got = increments.reconcile_increment(source, target, "k", "t", "r", "2024-01-01", open_end=True)[0].first()
+    assert got["source_rows"] == 3 and got["target_rows"] == 3 and got["status"] == "FAIL"
+
+
+def test_run_ids_stay_text(spark, tmp_path):
+    from plumbline.plans.results import RULE_RESULTS_SCHEMA
+    from plumbline.sources.results import list_runs, read_results, write_results
+    rows = spark.createDataFrame([], RULE_RESULTS_SCHEMA)
+    stored = spark.range(7, 9).selectExpr(
+        *[f"lpad(id, 3, '0') AS `{n}`" if n == "run_id" else f"cast(null as {t}) AS `{n}`" for n, t in rows.dtypes])
+    write_results(stored, str(tmp_path / "runs"))
+    assert sorted(r[0] for r in list_runs(spark, str(tmp_path / "runs")).collect()) == ["007", "008"]
+    assert read_results(spark, str(tmp_path / "runs"), "007").count() == 1

@@ -211,3 +211,11 @@ def test_sampling(spark):
     assert rows(sampling.distinct_values(values, "v", 2)) == [("a",), ("b",)]
     assert [tuple(r) for r in sampling.top_values(values, "v", 2).collect()] == [("a", 2), ("b", 2)]
     assert 0 < sampling.sample_fraction(spark.range(10_000), 0.1, 3).count() < 2000
+
+
+def test_a_bucket_without_rows_is_an_anomaly(spark):
+    days = [d for d in range(1, 21) if d != 15]
+    df = spark.range(10).selectExpr(f"explode(array({','.join(map(str, days))})) AS d", "id").selectExpr(
+        "make_timestamp_ntz(2024, 1, d, 12, 0, 0) AS ts")
+    got = {r["bucket"].day: r for r in volume.volume_anomaly(df, "ts", "1 day", 30).collect()}
+    assert len(got) == 20 and got[15]["n_rows"] == 0 and got[15]["status"] == "FAIL"

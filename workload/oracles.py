@@ -419,6 +419,8 @@ FROM g GROUP BY field""",
     "a5_top_values": "SELECT l_suppkey AS value, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, value LIMIT 20",
     "a6_write_results": RULES + " SELECT DISTINCT run_id FROM rules",
     "a7_read_results": RULES + " SELECT * FROM rules WHERE run_id = 'faulty'",
+    "a7_numeric_run_ids": """SELECT lpad(n_nationkey::VARCHAR, 3, '0') AS run_id, n_name AS "column", 'PASS' AS status
+FROM nation""",
     "a8_checkpoint_upsert": LATEST,
     "a8_checkpoint_log": LATEST,
 
@@ -629,6 +631,9 @@ SELECT *, {case(("duplicate_keys > 0", "FAIL", "HIGH"))} FROM m""",
     "f5_reconcile_increment": TARGET + """, a AS (SELECT floor(avg(o_orderkey)) AS low, max(o_orderkey) AS high FROM orders),
 s AS (SELECT o_orderkey FROM orders, a WHERE o_orderkey > low AND o_orderkey <= high),
 t AS (SELECT o_orderkey FROM target, a WHERE o_orderkey > low AND o_orderkey <= high)""" + reconcile("o_orderkey"),
+    "f5_increment_null_keys": TARGET + """,
+s AS (SELECT CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey ELSE -1 END AS k FROM orders),
+t AS (SELECT CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey ELSE -1 END AS k FROM target)""" + reconcile("k"),
     "f5_stream_reconcile": TARGET + """ SELECT CASE WHEN o_orderkey IN (SELECT o_orderkey FROM target) THEN 'matched'
   ELSE 'missing' END AS presence, count(DISTINCT o_orderkey) AS keys, count(*) AS source_rows FROM orders GROUP BY 1""",
 
@@ -703,6 +708,17 @@ SELECT o_orderpriority, 'o_orderdate' AS "column", {times("oldest")} AS oldest,
 h AS (SELECT *, count(*) OVER w AS history, avg(n_rows) OVER w AS m, stddev_samp(n_rows) OVER w AS sd FROM c
   WINDOW w AS (ORDER BY bucket RANGE BETWEEN INTERVAL 168 HOUR PRECEDING AND INTERVAL 6 HOUR PRECEDING)),
 z AS (SELECT *, CASE WHEN sd > 0 THEN (n_rows - m) / sd WHEN n_rows = m THEN 0.0 END AS z FROM h)
+SELECT {times("bucket")} AS bucket, n_rows, history, round(m, 6) AS mean_rows, round(sd, 6) AS stddev_rows,
+  round(z, 6) AS z_score,
+  {case(("history < 3", "SKIPPED", "MEDIUM"), ("CASE WHEN sd > 0 THEN abs(z) > 3 ELSE n_rows <> m END", "FAIL", "MEDIUM"))}
+FROM z""",
+    "i9_volume_outage": f"""WITH f AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS bucket, count(*) AS n FROM events
+  WHERE ts::DATE <> DATE '2024-01-15' GROUP BY 1),
+c AS (SELECT g.bucket, coalesce(n, 0) AS n_rows FROM (SELECT unnest(generate_series((SELECT min(bucket) FROM f),
+  (SELECT max(bucket) FROM f), INTERVAL 6 HOUR)) AS bucket) g LEFT JOIN f ON g.bucket = f.bucket),
+h AS (SELECT *, count(*) OVER w AS history, avg(n_rows) OVER w AS m, stddev_samp(n_rows) OVER w AS sd FROM c
+  WINDOW w AS (ORDER BY bucket RANGE BETWEEN INTERVAL 168 HOUR PRECEDING AND INTERVAL 6 HOUR PRECEDING)),
+z AS (SELECT *, CASE WHEN sd > 0 THEN (n_rows - m) / sd WHEN n_rows = m THEN 0.0 END AS z FROM h)
 SELECT {times("bucket")} AS bucket, n_rows, history, round(m, 6) AS mean_rows, round(sd, 6) AS stddev_rows,
   round(z, 6) AS z_score,
   {case(("history < 3", "SKIPPED", "MEDIUM"), ("CASE WHEN sd > 0 THEN abs(z) > 3 ELSE n_rows <> m END", "FAIL", "MEDIUM"))}

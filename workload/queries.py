@@ -544,6 +544,31 @@ def _(spark, d):
         "l_orderkey", fx.orders_target(spark, d), "o_orderkey", "orders")])
 
 
+@query("a7_numeric_run_ids")
+def _(spark, d):
+    path = scratch(spark, "results")
+    rows = fx.table(spark, d, "nation").select(
+        F.format_string("%03d", "n_nationkey").alias("run_id"), F.lit("s").alias("stage"), F.lit("r").alias("rule"),
+        F.lit("nation").alias("table"), F.col("n_name").alias("column"), F.lit("PASS").alias("status"),
+        F.lit("LOW").alias("severity"))
+    write_results(rows, path)
+    return read_results(spark, path).select("run_id", "column", "status")
+
+
+@query("f5_increment_null_keys")
+def _(spark, d):
+    source, target = orders_pair(spark, d)
+    keyed = F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderkey")).alias("k")
+    return increments.reconcile_increment(source.select(keyed), target.select(keyed), "k", "orders", "r1", fx.AS_OF,
+                                          open_end=True)[0]
+
+
+@query("i9_volume_outage")
+def _(spark, d):
+    events = fx.table(spark, d, "events").where("cast(ts AS date) <> date '2024-01-15'")
+    return volume.volume_anomaly(events, "ts", "6 hours", preceding=28)
+
+
 @query("i9_volume_anomaly")
 def _(spark, d):
     return volume.volume_anomaly(fx.table(spark, d, "events"), "ts", "6 hours", preceding=28)
