@@ -53,6 +53,27 @@ def text_sql(value: str, kind: T.DataType, *, float_scale: int | None = None, co
     return f"cast({value} as string)"
 
 
+def digits_sql(text: str) -> dict[str, str]:
+    """SQL for the parts of a number's text (``12.50``, ``1.2E-7``): digits before and after the point, exponent."""
+    return {"whole": f"regexp_extract({text}, '^-?([0-9]*)', 1)",
+            "decimals": f"regexp_extract({text}, '[.]([0-9]*?)0*(E|$)', 1)",
+            "exponent": f"coalesce(try_cast(nullif(regexp_extract({text}, 'E(-?[0-9]+)$', 1), '') as int), 0)"}
+
+
+def number_sql(text: str) -> str:
+    """SQL for one text of equal numbers, whatever their types: 2.5, 2.50 and 0.25E1 all give ``25E-1``.
+
+    Digits are kept as they are, so nothing is rounded; what isn't a finite number keeps its text.
+    """
+    part = digits_sql(text)
+    digits = f"regexp_replace({text}, '^-|[.]|E.*$', '')"
+    significant = f"regexp_replace({digits}, '^0+|0+$', '')"
+    power = (f"{part['exponent']} + length({part['whole']}) - length(regexp_extract({digits}, '^(0*)', 1)) "
+             f"- length({significant})")
+    return (f"case when not {text} rlike '^-?[0-9]' then {text} when {significant} = '' then '0' "
+            f"else concat(if({text} like '-%', '-', ''), {significant}, 'E', {power}) end")
+
+
 def short_key_sql(text: str) -> str:
     """SQL for a key that tells texts apart and is never long: the text itself, or its hash beyond 32 characters.
 
@@ -67,9 +88,11 @@ def canonical_text(name: str, kind: T.DataType, **options) -> Column:
 
 
 def row_text(df: DataFrame, cols: Sequence[str] | None = None, *, float_scale: int | None = None,
-             compat: bool = False) -> Column:
+             compat: bool = False, as_numbers: Sequence[str] = ()) -> Column:
     """Canonical text of the columns in the given order, joined by a pipe.
 
+    Columns named in ``as_numbers`` (any case) are written by ``number_sql``, for sides of different number types.
+
     Backslash and pipe inside text are escaped so that two different rows never share a text; ``compat=True``
     leaves them as they are.
     """
@@ -78,6 +101,8 @@ def row_text(df: DataFrame, cols: Sequence[str] | None = None, *, float_scale: i
     for name in cols or df.columns:
         kind = kinds[name.lower()]
         text = text_sql(f"`{name}`", kind, float_scale=float_scale, compat=compat)
+        if name.lower() in as_numbers:
+            text = number_sql(text)
         if not compat and isinstance(kind, (T.StringType, *_NESTED)):
             text = f"replace(replace({text}, char(92), concat(char(92), char(92))), '|', concat(char(92), '|'))"
         parts.append(f"coalesce({text}, concat(char(92), 'N'))")

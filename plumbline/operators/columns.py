@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.hashing import short_key_sql
+from plumbline.functions.hashing import number_sql, short_key_sql
 from plumbline.functions.text import FORMATS, has_outer_space
 from plumbline.functions.verdicts import FAIL, HIGH, MEDIUM, WARN, change_pct, share_pct, verdict
 from plumbline.operators.profile import STATS, column_stats, text_columns
@@ -54,12 +54,15 @@ def cardinality_delta(profile: DataFrame, max_change_pct: float = 10.0) -> DataF
 
 
 def range_drift(profile: DataFrame, max_mean_pct: float = 5.0) -> DataFrame:
-    """For columns with a mean on both sides: minimum or maximum changed, or the mean moved by too much."""
+    """For columns with a mean on both sides: minimum or maximum changed, or the mean moved by too much.
+
+    Bounds are compared as numbers, exactly, so 2.5 as a double and 2.50 as a decimal are equal.
+    """
     measured = profile.where("source_mean is not null and target_mean is not null").select(
         "column", "source_min_value", "target_min_value", "source_max_value", "target_max_value",
         "source_mean", "target_mean",
-        (F.col("source_min_value") != F.col("target_min_value")).alias("min_changed"),
-        (F.col("source_max_value") != F.col("target_max_value")).alias("max_changed"),
+        *[F.expr(f"{number_sql(f'source_{m}_value')} <> {number_sql(f'target_{m}_value')}").alias(f"{m}_changed")
+          for m in ("min", "max")],
         change_pct(F.col("source_mean"), F.col("target_mean")).alias("mean_drift_pct"))
     moved = F.col("min_changed") | F.col("max_changed") | (F.col("mean_drift_pct") > max_mean_pct)
     return verdict(measured, (moved, FAIL, MEDIUM))

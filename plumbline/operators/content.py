@@ -78,7 +78,7 @@ PII_VALUES: dict[str, str] = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "phone": r"(^|[^0-9])(\+?1[-. ]?)?\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}([^0-9]|\z)",
     "ssn": r"(^|[^0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}([^0-9-]|\z)",
-    "card_number": r"[0-9]([ -]?[0-9]){12,18}",
+    "card_number": r"[0-9][0-9 -]{11,}[0-9]",
     "ip_address": r"(^|[^0-9.])((25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])([^0-9]|\z)",
 }
 
@@ -123,12 +123,26 @@ _NECESSARY = {"email": lambda text: F.contains(text, F.lit("@")), "phone": lambd
 
 
 def has_pii(text: Column, kind: str) -> Column:
-    """True when the text holds a value of the kind; card numbers must also pass the Luhn check."""
+    """True when the text holds a value of the kind.
+
+    A card number is 13 to 19 digits that pass the Luhn check, with single blanks or hyphens between them; it begins and
+    ends where a group of digits does, so it is found next to other numbers and never inside a longer one.
+    """
     pattern = PII_VALUES[kind]
     if kind != "card_number":
         return _NECESSARY[kind](text) & text.rlike(pattern)
-    candidates = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.exists(candidates, lambda c: luhn_valid(F.regexp_replace(c, "[^0-9]", "")))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = F.flatten(F.transform(found, lambda piece: F.split(piece, "[ -][ -]+")))
+    return F.exists(pieces, lambda piece: _holds_card(F.split(piece, "[ -]")))
+
+
+def _holds_card(groups: Column) -> Column:
+    """True when neighbouring groups of digits make up a card number: 19 groups at most, as each has a digit."""
+    def at(first: Column) -> Column:
+        counts = F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - first + 1))
+        return F.exists(F.transform(counts, lambda n: F.array_join(F.slice(groups, first, n), "")),
+                        lambda digits: F.length(digits).between(13, 19) & luhn_valid(digits))
+    return F.exists(F.sequence(F.lit(1), F.size(groups)), at)
 
 
 def pii_scan(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -31,10 +31,20 @@ def table_fingerprint(df: DataFrame, cols: Sequence[str] | None = None, algorith
                          text_hash(digest_text(F.col("n_rows")), algorithm).alias("fingerprint"))
 
 
+def number_pairs(source: DataFrame, target: DataFrame, cols: Sequence[str]) -> set[str]:
+    """Lower-case names of the columns that hold numbers of different types on the two sides."""
+    kinds = [{f.name.lower(): f.dataType for f in side.schema.fields} for side in (source, target)]
+    pairs = {c.lower(): [kind[c.lower()] for kind in kinds] for c in cols}
+    return {name for name, (a, b) in pairs.items()
+            if a != b and isinstance(a, T.NumericType) and isinstance(b, T.NumericType)}
+
+
 def compare_fingerprint(source: DataFrame, target: DataFrame, cols: Sequence[str] | None = None,
                         algorithm: str = "md5", **text_options) -> DataFrame:
-    """Equal fingerprints pass. Columns are taken by name, in source order."""
+    """Equal fingerprints pass. Columns are taken by name, in source order; numbers of different types that are equal
+    hash alike."""
     cols = list(cols or source.columns)
+    text_options = {"as_numbers": number_pairs(source, target, cols)} | text_options
     sides = [table_fingerprint(side, cols, algorithm, **text_options).select(
         F.lit(name).alias("side"), "n_rows", "fingerprint") for name, side in (("source", source), ("target", target))]
     both = sides[0].unionByName(sides[1])
@@ -44,7 +54,7 @@ def compare_fingerprint(source: DataFrame, target: DataFrame, cols: Sequence[str
     return verdict(measured, (F.col("source_fingerprint") != F.col("target_fingerprint"), FAIL, HIGH))
 
 
-def _chunk_of(df: DataFrame, keys: Sequence[str], size: int, mode: str, chunks: int | None):
+def _chunk_of(df: DataFrame, keys: Sequence[str], size: int, mode: str, chunks: int | None, as_numbers: set[str]):
     kind = df.schema[keys[0]].dataType
     if mode == "range":
         if len(keys) != 1 or not isinstance(kind, T.IntegralType):
@@ -53,7 +63,7 @@ def _chunk_of(df: DataFrame, keys: Sequence[str], size: int, mode: str, chunks:
     if mode == "hash":
         if not chunks:
             raise ValueError("hash chunks need the number of chunks")
-        key_hash = F.md5(row_text(df, keys))
+        key_hash = F.md5(row_text(df, keys, as_numbers=as_numbers))
         return (F.conv(F.substring(key_hash, 1, 12), 16, 10).cast("long") % chunks).cast("long")
     raise ValueError(f"unknown chunk mode: {mode}")
 
@@ -69,12 +79,13 @@ def chunk_hash_compare(source: DataFrame, target: DataFrame, keys: Sequence[str]
     merge on the map side, so no chunk is collected whatever its size; a rank chunk never exceeds ``chunk_size``.
     """
     cols = list(cols or source.columns)
+    text_options = {"as_numbers": number_pairs(source, target, cols)} | text_options
     if mode == "rank":
         return _rank_chunks(source, target, keys, chunk_size, algorithm, cols, text_options)
     hashed = []
     for side in (source, target):
         numbers = hash_numbers(row_hash(side, cols, algorithm, **text_options))
-        chunk = _chunk_of(side, keys, chunk_size, mode, chunks)
+        chunk = _chunk_of(side, keys, chunk_size, mode, chunks, number_pairs(source, target, keys))
         hashed.append(side.select(chunk.alias("chunk"), *[c.alias(n) for n, c in numbers.items()]))
     both = tagged_union(*hashed).groupBy("chunk").agg(
         F.sum("in_source").alias("source_rows"), F.sum("in_target").alias("target_rows"),

@@ -32,9 +32,14 @@ def temporal_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
     return columns_of(df, T.DateType, T.TimestampType, T.TimestampNTZType, skip=skip)
 
 
+def _quoted(text: str) -> str:
+    """The text inside a SQL string literal."""
+    return text.replace("\\", "\\\\").replace("'", "\\'")
+
+
 def per_column(df: DataFrame, measures: dict[str, dict[str, str]], name: str = "column") -> DataFrame:
     """Run all ``{column: {measure: SQL aggregate}}`` in one pass; one output row per column."""
-    rows = [f"named_struct('{name}', '{column}', " + ", ".join(f"'{m}', {sql}" for m, sql in aggregates.items()) + ")"
+    rows = [f"named_struct('{name}', '{_quoted(column)}', " + ", ".join(f"'{m}', {sql}" for m, sql in aggregates.items()) + ")"
             for column, aggregates in measures.items()]
     return df.agg(F.expr(f"array({', '.join(rows)})").alias("rows")).selectExpr("inline(rows)")
 

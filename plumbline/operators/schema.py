@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.hashing import digits_sql
 from plumbline.functions.verdicts import FAIL, HIGH, MEDIUM, WARN, verdict
 from plumbline.operators.profile import per_column
 
@@ -15,7 +16,8 @@ from plumbline.operators.profile import per_column
 def column_catalog(df: DataFrame, declared: dict[str, int] | None = None) -> DataFrame:
     """Per column: ordinal, declared type, and what the data needs (nulls, text length, integer digits, scale).
 
-    ``declared`` gives maximum text lengths that the schema itself can't express.
+    ``declared`` gives maximum text lengths that the schema itself can't express. Digits and scale are those of the
+    values' own texts (the shortest one of a float), however many they are; infinite values and NaN have none.
     """
     declared = {name.lower(): length for name, length in (declared or {}).items()}
     measures = {}
@@ -26,9 +28,10 @@ def column_catalog(df: DataFrame, declared: dict[str, int] | None = None) -> Dat
             digits, scale = f"greatest(length(abs(cast(max({value}) as decimal(20,0)))), " \
                             f"length(abs(cast(min({value}) as decimal(20,0)))))", f"if(count({value}) > 0, 0, null)"
         elif isinstance(f.dataType, T.NumericType):
-            plain = f"cast(abs(try_cast({value} as decimal(38,10))) as string)"
-            digits = f"max(length(substring_index({plain}, '.', 1)))"
-            scale = f"max(length(rtrim('0', substring_index({plain}, '.', -1))))"
+            part = digits_sql(f"cast({value} as string)")
+            finite = f"abs({value}) < double('infinity')" if isinstance(f.dataType, T.FractionalType) else "true"
+            digits = f"max(if({finite}, greatest(1, length({part['whole']}) + {part['exponent']}), null))"
+            scale = f"max(if({finite}, if({value} = 0, 0, greatest(0, length({part['decimals']}) - {part['exponent']})), null))"
         length = getattr(f.dataType, "length", None) or declared.get(f.name.lower())
         measures[f.name] = {
             "ordinal": str(ordinal), "data_type": f"'{f.dataType.simpleString()}'",
@@ -98,15 +101,38 @@ def field_drift(source: DataFrame, target: DataFrame, name: str = "field") -> Da
     return verdict(added.unionByName(removed), otherwise=(FAIL, HIGH))
 
 
+# Bits and digits of the integer types.
+_LIMITS = {"tinyint": (8, 3), "smallint": (16, 5), "int": (32, 10), "bigint": (64, 19)}
+
+
+def _beyond_limits(source: DataFrame, target: DataFrame) -> DataFrame | None:
+    """``(name, beyond)`` of the source's numbers that the target stores as integers: one pass, no row if there's none."""
+    theirs = {f.name.lower(): f.dataType.simpleString() for f in target.schema.fields}
+    measures = {}
+    for f in source.schema.fields:
+        bits = _LIMITS.get(theirs.get(f.name.lower()), (None,))[0]
+        if bits is None or not isinstance(f.dataType, T.NumericType):
+            continue
+        value, kind = f"`{f.name}`", f.dataType.simpleString()
+        # both limits are powers of two, so they are exact in floats too; decimals and integers compare as decimals
+        low, high = ((f"-double('{2 ** (bits - 1)}')", f"double('{2 ** (bits - 1)}')") if kind in ("float", "double")
+                     else (f"-{2 ** (bits - 1)}BD", f"{2 ** (bits - 1)}BD"))
+        finite = f"abs({value}) < double('infinity')" if kind in ("float", "double") else f"{value} is not null"
+        measures[f.name] = {"beyond": f"coalesce(bool_or(({value} < {low} or {value} >= {high}) and {finite}), false)"}
+    return per_column(source, measures).select(F.lower("column").alias("name"), "beyond") if measures else None
+
+
 def type_compatibility(source: DataFrame, target: DataFrame, skip: Sequence[str] = (),
                        target_lengths: dict[str, int] | None = None,
                        source_lengths: dict[str, int] | None = None) -> DataFrame:
     """Per common column: would the source's values fit the target's type?
 
     Truncation is judged on the longest text, most integer digits and largest scale actually present in the source
-    (or its declared length, if longer), against the declared target length or decimal precision.
+    (or its declared length, if longer), against the declared target length or decimal precision. For integer targets
+    a least or largest value beyond the type's limits loses a digit or more, and any scale is lost.
     """
     skipped = [c.lower() for c in skip]
+    beyond = _beyond_limits(source, target)
     both = _sides(column_catalog(source, source_lengths), column_catalog(target, target_lengths)).where(
         F.col("source_column").isNotNull() & F.col("target_column").isNotNull() & ~F.col("name").isin(skipped))
     precision = F.try_to_number(F.nullif(F.regexp_extract("target_data_type", r"^decimal\((\d+),", 1), F.lit("")),
@@ -119,6 +145,13 @@ def type_compatibility(source: DataFrame, target: DataFrame, skip: Sequence[str]
         "lost_length": F.greatest(need - F.col("target_declared_length"), F.lit(0)),
         "lost_digits": F.greatest(F.col("source_max_digits") - (precision - scale), F.lit(0)),
         "lost_scale": F.greatest(F.col("source_max_scale") - scale, F.lit(0))})
+    if beyond is not None:
+        whole = F.col("target_data_type").isin(*_LIMITS)
+        room = F.element_at(F.create_map(*[F.lit(x) for k, (_, n) in _LIMITS.items() for x in (k, n)]), F.col("target_data_type"))
+        measured = measured.join(beyond, "name", "left").withColumns({
+            "lost_digits": F.when(F.col("beyond"), F.greatest(F.col("source_max_digits") - room, F.lit(1)))
+            .otherwise(F.col("lost_digits")),
+            "lost_scale": F.when(whole, F.col("source_max_scale")).otherwise(F.col("lost_scale"))})
     lost = F.coalesce("lost_length", F.lit(0)) + F.coalesce("lost_digits", F.lit(0)) + F.coalesce("lost_scale", F.lit(0))
     return verdict(measured, (lost > 0, FAIL, HIGH),
                    (F.col("source_data_type") != F.col("target_data_type"), WARN, MEDIUM)).select(

@@ -16,7 +16,7 @@ from plumbline.operators import (columns, content, drift, fingerprint, freshness
 from plumbline.plans.results import to_rule_results, union_results
 from plumbline.plans.rollup import STAGES, Stage, blocking
 from plumbline.operators.increments import reconcile_increment
-from plumbline.sources.checkpoints import CHECKPOINT_SCHEMA, append_checkpoints, checkpoint_get, read_checkpoints
+from plumbline.sources.checkpoints import CHECKPOINT_SCHEMA, append_checkpoints, checkpoint_latest, read_checkpoints
 from plumbline.sources.workspace import checkpoint
 
 
@@ -166,9 +166,10 @@ def reconciliation(spec: TableSpec, t: Thresholds, out: _Collector, as_of: str |
     shared = _common(spec, spec.source.columns)
     kind = spec.source.schema[spec.keys[0]].dataType.typeName()
     ranged = len(spec.keys) == 1 and kind in ("byte", "short", "integer", "long")
+    rows = found.first()["source_rows"]
     chunked = fingerprint.chunk_hash_compare(
         spec.source, spec.target, spec.keys, t.chunk_size, t.hash_algorithm, "range" if ranged else "hash",
-        None if ranged else 1024, shared).agg(F.count(F.lit(1)).alias("chunks"),
+        None if ranged else -(-rows // t.chunk_size) or 1, shared).agg(F.count(F.lit(1)).alias("chunks"),
                                               F.count_if(F.col("status") == FAIL).alias("mismatched_chunks"))
     out.add("chunk_hash", verdict(chunked, (F.col("mismatched_chunks") > 0, FAIL, HIGH)),
             metrics=["chunks", "mismatched_chunks"], remediation="Compare the rows of the mismatched chunks")
@@ -179,14 +180,17 @@ def reconciliation(spec: TableSpec, t: Thresholds, out: _Collector, as_of: str |
 
 
 def _since_checkpoint(spec: TableSpec, out: _Collector, as_of: str | datetime) -> None:
-    """Reconcile what came after the table's last checkpoint, and log the next one."""
-    spark, key = spec.source.sparkSession, spec.keys[0]
+    """Reconcile what came after the table's last checkpoint of any run, and log the next one."""
+    spark = spec.source.sparkSession
     try:
         log = read_checkpoints(spark, spec.checkpoint_path)
-    except AnalysisException:  # no log yet: everything is new
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # no log yet: everything is new
         log = spark.createDataFrame([], CHECKPOINT_SCHEMA)
-    last = checkpoint_get(log, spec.name, out.run_id)
-    found, record = reconcile_increment(spec.source, spec.target, key, spec.name, out.run_id, as_of, last)
+    last = checkpoint_latest(log, spec.name)
+    found, record = reconcile_increment(spec.source, spec.target, spec.keys, spec.name, out.run_id, as_of, last)
     out.add("incremental_validation", checkpoint(found), metrics=["source_rows", "missing_rows", "extra_rows"])
     append_checkpoints(record, spec.checkpoint_path)
 

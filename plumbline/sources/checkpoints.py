@@ -23,6 +23,14 @@ def checkpoint_get(checkpoints: DataFrame, table: str, run_id: str) -> DataFrame
     return checkpoint_upsert(mine, mine.limit(0))
 
 
+def checkpoint_latest(checkpoints: DataFrame, table: str) -> DataFrame:
+    """The latest record of one table, whichever run wrote it: no row or one."""
+    columns = ["last_validated_at", "chunk_index", "last_key", "run_id"]
+    latest = (checkpoints.where(F.col("table") == table).groupBy("table")
+              .agg(F.max(F.struct(*columns)).alias("latest")))
+    return latest.select("table", *[f"latest.{c}" for c in ("run_id", "last_validated_at", "last_key", "chunk_index")])
+
+
 def append_checkpoints(new: DataFrame, path: str) -> None:
     """Append to the log; the latest record wins when it is read."""
     new.write.mode("append").parquet(path)

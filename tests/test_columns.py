@@ -161,6 +161,15 @@ def test_pii(spark):
     assert one(content.pii_risk(content.pii_scan(df.select("id"))))["risk_level"] == "NONE"
 
 
+def test_card_numbers_next_to_other_digits(spark):
+    texts = [("qty 2 4111 1111 1111 1111", True), ("ref 4111111111111111 12345678", True), ("4111-1111-1111-1111.", True),
+             ("1234567894111111111111111", False), ("4111111111111111123456789", False), ("4111  1111  1111  1111", False),
+             ("", False), (None, None), ("1 " * 50_000, False), ("9" * 100_000, False)]
+    df = spark.createDataFrame(texts, "note string, want boolean")
+    got = df.select(content.has_pii(F.col("note"), "card_number").alias("got"), "want").collect()
+    assert all(r["got"] == r["want"] for r in got)
+
+
 AS_OF = "2024-01-02 00:00:00"
 
 

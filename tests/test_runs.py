@@ -182,3 +182,25 @@ def test_run_ids_stay_text(spark, tmp_path):
     write_results(stored, str(tmp_path / "runs"))
     assert sorted(r[0] for r in list_runs(spark, str(tmp_path / "runs")).collect()) == ["007", "008"]
     assert read_results(spark, str(tmp_path / "runs"), "007").count() == 1
+
+
+def test_increments_of_composite_keys(spark):
+    rows_ = "values (1, 1), (1, 2), (2, 1)"
+    source = spark.sql(f"select * from {rows_} as t(a, b)")
+    target = source.where("NOT (a = 1 AND b = 2)")
+    found, record = increments.reconcile_increment(source, target, ["a", "b"], "t", "r1", "2024-01-01")
+    assert one(found)["missing_rows"] == 1 and one(record)["last_key"] == "2"
+    # a further row of the last value isn't passed over
+    more = source.union(spark.sql("select 2, 2"))
+    found, _ = increments.reconcile_increment(more, source, ["a", "b"], "t", "r1", "2024-01-02", record)
+    assert (one(found)["source_rows"], one(found)["missing_rows"]) == (2, 1)
+
+
+def test_a_new_run_goes_on_from_the_last_checkpoint(spark, tmp_path):
+    log = str(tmp_path / "log")
+    for run, size, seen in (("r1", 5, 5), ("r2", 8, 3)):
+        df = spark.range(size).withColumnRenamed("id", "k")
+        spec = TableSpec("t", df, df, ["k"], checkpoint_path=log)
+        results = validate([spec], run, "2024-01-01 00:00:00", agents=["reconciliation"])
+        metrics = one(results.where("rule = 'incremental_validation'"))["metrics"]
+        assert float(metrics["source_rows"]) == seen

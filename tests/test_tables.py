@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from plumbline.functions.hashing import ordered_digest, row_hash, row_text
+from plumbline.functions.hashing import number_sql, ordered_digest, row_hash, row_text
 from plumbline.operators import fingerprint, keys, sampling, schema, volume
 from tests.conftest import one, rows
 
@@ -203,6 +203,31 @@ def test_decimals_lose_digits(spark):
     assert (found["lost_digits"], found["lost_scale"], found["status"]) == (1, 1, "FAIL")
 
 
+def test_scales_beyond_ten_and_narrow_integers(spark):
+    s = spark.sql("select 0.123456789012345678BD as a, 1000000000000L as b, 2.5D as c, 1e300D as d, 7L as e, 0BD as f")
+    t = spark.sql("select cast(0 as decimal(38,12)) as a, 1 as b, 1L as c, 1L as d, 1S as e, 1 as f")
+    got = {r["name"]: (r["lost_digits"], r["lost_scale"], r["status"]) for r in schema.type_compatibility(s, t).collect()}
+    assert got == {"a": (0, 6, "FAIL"), "b": (3, 0, "FAIL"), "c": (0, 1, "FAIL"), "d": (282, 0, "FAIL"),
+                   "e": (0, 0, "WARN"), "f": (0, 0, "WARN")}
+
+
+def test_column_names_with_quotes(spark):
+    df = spark.range(3).withColumnRenamed("id", "it's")
+    assert [r["column"] for r in schema.column_catalog(df).collect()] == ["it's"]
+
+
+def test_equal_numbers_of_other_types_hash_alike(spark):
+    s = spark.sql("select * from values (1L, 2.5D, 0.1f), (2L, 1e7D, -3f), (3L, 0.05D, 0f), (4L, null, null) as t(k, v, w)")
+    t = s.selectExpr("cast(k as decimal(10,0)) k", "cast(v as decimal(20,6)) v", "cast(cast(w as string) as double) w")
+    assert one(fingerprint.compare_fingerprint(s, t))["status"] == "PASS"
+    assert {r["status"] for r in fingerprint.chunk_hash_compare(s, t, ["k"], mode="hash", chunks=3).collect()} == {"PASS"}
+    other = t.withColumn("v", F.col("v") + F.expr("0.000001BD"))
+    assert one(fingerprint.compare_fingerprint(s, other))["status"] == "FAIL"
+    texts = {"2.50": "25E-1", "-0.050": "-5E-2", "100": "1E2", "1.0E7": "1E7", "0.00": "0", "-0.0": "0", "NaN": "NaN"}
+    df = spark.createDataFrame(list(texts.items()), "a string, b string").select(F.expr(number_sql("a")).alias("got"), "b")
+    assert all(r["got"] == r["b"] for r in df.collect())
+
+
 def test_sampling(spark):
     df = spark.range(100)
     first = rows(sampling.sample_rows(df, 10, ["id"], 1))

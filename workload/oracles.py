@@ -296,9 +296,15 @@ def pii_cells(table: str, texts: list[str]) -> str:
         for kind, pattern in PII_VALUES.items():
             risk, regulations, protection = PII_POLICY[kind]
             if kind == "card_number":
-                digits = "reverse(regexp_replace(m, '[^0-9]', '', 'g'))"
-                hit = (f"len(list_filter(regexp_extract_all({c}, '{pattern}'), lambda m: "
-                       f"{LUHN.format(d=digits)})) > 0")
+                # groups of digits with one blank or hyphen between them; each run of groups is one candidate
+                runs = f"regexp_extract_all({c}, '[0-9]+(?:[ -][0-9]+)*')"
+                groups = (f"list_transform(list_filter({runs}, lambda r: length(r) > 12), "
+                          "lambda r: string_split_regex(r, '[ -]'))")
+                windows = (f"flatten(list_transform({groups}, lambda g: flatten(list_transform(range(1, len(g) + 1), "
+                           "lambda i: list_transform(range(i, least(i + 19, len(g) + 1)), "
+                           "lambda j: array_to_string(g[i:j], ''))))))")
+                hit = (f"len(list_filter({windows}, lambda m: length(m) BETWEEN 13 AND 19 AND "
+                       f"{LUHN.format(d='reverse(m)')})) > 0")
             else:
                 hit = f"regexp_matches({c}, '{pattern}')"
             parts.append(f"SELECT '{c}' AS \"column\", '{kind}' AS pii_type, count({c}) AS checked_rows, "
@@ -631,6 +637,22 @@ SELECT *, {case(("duplicate_keys > 0", "FAIL", "HIGH"))} FROM m""",
     "f5_reconcile_increment": TARGET + """, a AS (SELECT floor(avg(o_orderkey)) AS low, max(o_orderkey) AS high FROM orders),
 s AS (SELECT o_orderkey FROM orders, a WHERE o_orderkey > low AND o_orderkey <= high),
 t AS (SELECT o_orderkey FROM target, a WHERE o_orderkey > low AND o_orderkey <= high)""" + reconcile("o_orderkey"),
+    "f5_increment_composite": """WITH s AS (SELECT l_orderkey, l_linenumber FROM lineitem),
+t AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_orderkey % 7 = 0 AND l_linenumber = 2))"""
+    + reconcile("l_orderkey, l_linenumber"),
+    "b2_fingerprint_types": """SELECT count(*) AS source_n_rows, count(*) AS target_n_rows, 'PASS' AS status,
+  'HIGH' AS severity FROM orders""",
+    "c4_range_types": """SELECT 'o_totalprice' AS "column", false AS min_changed, false AS max_changed, 'PASS' AS status,
+  'HIGH' AS severity FROM orders HAVING count(*) > 0""",
+    "c5_narrowing": f"""WITH r AS (SELECT 'big' AS name, 'bigint' AS source_data_type,
+  CASE WHEN max(o_orderkey) * 1000000 > 2147483647 THEN greatest(max(length((o_orderkey * 1000000)::VARCHAR)) - 10, 1)
+    ELSE 0 END::INT AS lost_digits, 0 AS lost_scale FROM orders
+  UNION ALL SELECT 'small', 'bigint', 0, 0
+  UNION ALL SELECT 'price', 'double', 0, max(length(rtrim(split_part(o_totalprice::VARCHAR, '.', 2), '0')))::INT FROM orders)
+SELECT *, 'int' AS target_data_type, NULL::INT AS needed_length, NULL::INT AS target_declared_length, 0 AS lost_length,
+  {case(("lost_digits + lost_scale > 0", "FAIL", "HIGH"), otherwise=("WARN", "MEDIUM"))} FROM r""",
+    "g3_pii_cards": pii_scan("(SELECT 'n ' || c_custkey || ' ' || (4000000000000000 + c_custkey * 7) || ' 12345678' AS note "
+                             "FROM customer)", ["note"]),
     "f5_increment_null_keys": TARGET + """,
 s AS (SELECT CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey ELSE -1 END AS k FROM orders),
 t AS (SELECT CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey ELSE -1 END AS k FROM target)""" + reconcile("k"),

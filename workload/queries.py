@@ -555,6 +555,44 @@ def _(spark, d):
     return read_results(spark, path).select("run_id", "column", "status")
 
 
+@query("f5_increment_composite")
+def _(spark, d):
+    items = fx.table(spark, d, "lineitem")
+    target = items.where("NOT (l_orderkey % 7 = 0 AND l_linenumber = 2)")
+    return increments.reconcile_increment(items, target, ["l_orderkey", "l_linenumber"], "lineitem", "r1", fx.AS_OF)[0]
+
+
+@query("b2_fingerprint_types")
+def _(spark, d):
+    orders = fx.table(spark, d, "orders")
+    target = orders.withColumns({"o_orderkey": F.col("o_orderkey").cast("decimal(20,0)"),
+                                 "o_totalprice": F.col("o_totalprice").cast("decimal(18,6)")})
+    return fingerprint.compare_fingerprint(orders, target).select("source_n_rows", "target_n_rows", "status", "severity")
+
+
+@query("c4_range_types")
+def _(spark, d):
+    orders = fx.table(spark, d, "orders").select("o_totalprice")
+    target = orders.select(F.col("o_totalprice").cast("decimal(18,6)").alias("o_totalprice"))
+    return columns.range_drift(columns.paired_profile(orders, target, measures=columns.RANGE_MEASURES)).select(
+        "column", "min_changed", "max_changed", "status", "severity")
+
+
+@query("c5_narrowing")
+def _(spark, d):
+    source = fx.table(spark, d, "orders").selectExpr("o_orderkey * 1000000 AS big", "o_orderkey AS small",
+                                                     "o_totalprice AS price")
+    target = source.selectExpr(*[f"try_cast({c} AS int) AS {c}" for c in source.columns])
+    return schema.type_compatibility(source, target)
+
+
+@query("g3_pii_cards")
+def _(spark, d):
+    notes = fx.table(spark, d, "customer").selectExpr(
+        "concat('n ', c_custkey, ' ', 4000000000000000 + c_custkey * 7, ' 12345678') AS note")
+    return content.pii_scan(notes)
+
+
 @query("f5_increment_null_keys")
 def _(spark, d):
     source, target = orders_pair(spark, d)
