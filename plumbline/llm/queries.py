@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import (cross_parsing, decision_list, decontaminate, feistel_shards, html_text, jaccard_join,
-                           mixing, nbsvm, secret_ledger, url_filter)
+from plumbline.llm import (cross_parsing, decision_list, decontaminate, feistel_shards, hard_negatives, html_text,
+                           imatch, jaccard_join, mixing, nbsvm, secret_ledger, url_filter, whitening)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,3 +77,18 @@ def _(spark, d):
 @query("op10_cross_parsing")
 def _(spark, d):
     return cross_parsing.identify(table(spark, d, "documents"))
+
+
+@query("op11_chebyshev_whitening")
+def _(spark, d):
+    return whitening.whiten(table(spark, d, "embeddings"))
+
+
+@query("op12_four_russians_negatives")
+def _(spark, d):
+    return hard_negatives.mine(table(spark, d, "embeddings"))
+
+
+@query("op13_imatch_fingerprints")
+def _(spark, d):
+    return imatch.fingerprints(table(spark, d, "documents"))
