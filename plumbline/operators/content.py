@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import luhn_valid
 from plumbline.functions.verdicts import FAIL, HIGH, MEDIUM, SKIPPED, change_pct, verdict
 from plumbline.operators.profile import per_column, temporal_columns, text_columns
 
@@ -136,13 +135,47 @@ def has_pii(text: Column, kind: str) -> Column:
     return F.exists(pieces, lambda piece: _holds_card(F.split(piece, "[ -]")))
 
 
+#: Digits of a card number, least and most.
+CARD_DIGITS = (13, 19)
+
+
+def _group_sums(group: Column) -> Column:
+    """``(n, plain, shifted)`` of a group of digits: its length, and its Luhn sums when its last digit is not doubled and
+    when it is. Groups longer than a card are only measured."""
+    def add(acc: Column, char: Column) -> Column:
+        d = char.cast("int")
+        doubled = F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)
+        even = acc["i"] % 2 == 0
+        return F.struct((acc["i"] + 1).alias("i"), (acc["plain"] + F.when(even, d).otherwise(doubled)).alias("plain"),
+                        (acc["shifted"] + F.when(even, doubled).otherwise(d)).alias("shifted"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("plain"), F.lit(0).alias("shifted"))
+    sums = F.aggregate(F.split(F.reverse(group), "(?<=.)(?=.)"), start, add)
+    short = F.length(group) <= CARD_DIGITS[1]
+    return F.struct(F.length(group).alias("n"), F.when(short, sums["plain"]).otherwise(0).alias("plain"),
+                    F.when(short, sums["shifted"]).otherwise(0).alias("shifted"))
+
+
 def _holds_card(groups: Column) -> Column:
-    """True when neighbouring groups of digits make up a card number: 19 groups at most, as each has a digit."""
-    def at(first: Column) -> Column:
-        counts = F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - first + 1))
-        return F.exists(F.transform(counts, lambda n: F.array_join(F.slice(groups, first, n), "")),
-                        lambda digits: F.length(digits).between(13, 19) & luhn_valid(digits))
-    return F.exists(F.sequence(F.lit(1), F.size(groups)), at)
+    """True when neighbouring whole groups of digits make up a card number: 13 to 19 digits passing the Luhn check.
+
+    Each group is measured once; from every last group, the window grows leftwards by whole groups while it can still
+    be a card (19 groups at most, as each has a digit), adding a group's sum in the parity that the digits to its right
+    give it. Linear in the number of groups, however long the text."""
+    low, high = CARD_DIGITS
+
+    def ends_at(sums: Column, last: Column) -> Column:
+        def grow(acc: Column, i: Column) -> Column:
+            g = F.element_at(sums, i)
+            n = acc["n"] + g["n"]
+            total = acc["sum"] + F.when(acc["n"] % 2 == 0, g["plain"]).otherwise(g["shifted"])
+            return F.struct(n.alias("n"), total.alias("sum"),
+                            (acc["found"] | (n.between(low, high) & (total % 10 == 0))).alias("found"))
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"), F.lit(False).alias("found"))
+        return F.aggregate(F.sequence(last, F.greatest(F.lit(1), last - (high - 1)), F.lit(-1)), start, grow)["found"]
+
+    # the sums are bound once as a lambda variable, then read by position
+    return F.exists(F.array(F.transform(groups, _group_sums)),
+                    lambda sums: F.exists(F.sequence(F.lit(1), F.size(sums)), lambda last: ends_at(sums, last)))
 
 
 def pii_scan(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

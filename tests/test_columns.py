@@ -1,5 +1,8 @@
 """Column profiles and their comparison, documents, content and time checks, declared checks."""
 
+import random
+import re
+import time
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +220,37 @@ def test_check_freshness_and_severity(spark):
     df = spark.sql("select timestamp_ntz'2024-01-01 12:00:00' as ts")
     assert one(checks.run_checks(df, [checks.check_freshness("ts", 2, AS_OF)]))["severity"] == "MEDIUM"
     assert one(checks.run_checks(df, [checks.check_freshness("ts", 13, AS_OF)]))["status"] == "PASS"
+
+
+def _brute_card(text):
+    """Whole groups of digits, single blanks or hyphens between, 13 to 19 digits, Luhn: by listing every window."""
+    if text is None:
+        return None
+    for run in re.findall(r"[0-9][0-9 -]{11,}[0-9]", text):
+        for piece in re.split(r"[ -][ -]+", run):
+            groups = re.split(r"[ -]", piece)
+            for i in range(len(groups)):
+                for j in range(i, len(groups)):
+                    digits = "".join(groups[i:j + 1])
+                    if 13 <= len(digits) <= 19:
+                        total = sum(int(c) if k % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c))
+                                    for k, c in enumerate(reversed(digits)))
+                        if total % 10 == 0:
+                            return True
+    return False
+
+
+def test_card_numbers_against_brute_force(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("0123456789  -x") for _ in range(rng.randint(0, 80))) for _ in range(400)]
+    texts += ["4111 1111 1111 1111", "41 11-1111 1111 111 1", "x4111111111111111y", "1" * 19, "0" * 13]
+    df = spark.createDataFrame([(t,) for t in texts], "note string")
+    got = [r["got"] for r in df.select(content.has_pii(F.col("note"), "card_number").alias("got")).collect()]
+    assert got == [_brute_card(t) for t in texts]
+
+
+def test_card_search_is_linear(spark):
+    df = spark.createDataFrame([("1 " * 500_000,), ("12-" * 300_000,)], "note string")
+    started = time.time()
+    assert not any(r["got"] for r in df.select(content.has_pii(F.col("note"), "card_number").alias("got")).collect())
+    assert time.time() - started < 30

@@ -3,7 +3,7 @@ ranks and distribution functions, string_agg for chunk hashes."""
 
 from __future__ import annotations
 
-from plumbline.operators.content import PII_POLICY, PII_VALUES
+from plumbline.operators.content import PII_POLICY
 
 AS_OF = "TIMESTAMP '2002-01-01 00:00:00'"
 EVENTS_AS_OF = "TIMESTAMP '2024-02-01 00:00:00'"
@@ -286,6 +286,15 @@ def fingerprint(columns: dict[str, str], table: str, algorithm: str) -> str:
             f"(SELECT {algorithm}({row_text(columns)}) AS h FROM {table})")
 
 
+# Personal data by value, as DuckDB (RE2) patterns; card numbers are found by their windows below.
+PII_SQL_PATTERNS: dict[str, str] = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "phone": r"(^|[^0-9])(\+?1[-. ]?)?\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}([^0-9]|$)",
+    "ssn": r"(^|[^0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}([^0-9-]|$)",
+    "card_number": "",
+    "ip_address": r"(^|[^0-9.])((25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])([^0-9]|$)",
+}
+
 LUHN = ("(list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {d}[i]::INT "
         "WHEN {d}[i]::INT * 2 > 9 THEN {d}[i]::INT * 2 - 9 ELSE {d}[i]::INT * 2 END)) % 10 = 0)")
 
@@ -293,7 +302,7 @@ LUHN = ("(list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN
 def pii_cells(table: str, texts: list[str]) -> str:
     parts = []
     for c in texts:
-        for kind, pattern in PII_VALUES.items():
+        for kind, pattern in PII_SQL_PATTERNS.items():
             risk, regulations, protection = PII_POLICY[kind]
             if kind == "card_number":
                 # groups of digits with one blank or hyphen between them; each run of groups is one candidate
@@ -651,6 +660,8 @@ t AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_orderkey % 7 =
   UNION ALL SELECT 'price', 'double', 0, max(length(rtrim(split_part(o_totalprice::VARCHAR, '.', 2), '0')))::INT FROM orders)
 SELECT *, 'int' AS target_data_type, NULL::INT AS needed_length, NULL::INT AS target_declared_length, 0 AS lost_length,
   {case(("lost_digits + lost_scale > 0", "FAIL", "HIGH"), otherwise=("WARN", "MEDIUM"))} FROM r""",
+    "g3_pii_line_numbers": pii_scan("(SELECT concat_ws(' ', 'line', l_orderkey, l_partkey, l_suppkey, l_linenumber, "
+                                    "strftime(l_shipdate, '%Y%m%d')) AS note FROM lineitem)", ["note"]),
     "g3_pii_cards": pii_scan("(SELECT 'n ' || c_custkey || ' ' || (4000000000000000 + c_custkey * 7) || ' 12345678' AS note "
                              "FROM customer)", ["note"]),
     "f5_increment_null_keys": TARGET + """,

@@ -593,6 +593,18 @@ def _(spark, d):
     return content.pii_scan(notes)
 
 
+def line_numbers(spark, d):
+    """Every line item as a note of its numbers: order, part, supplier, line and ship date, one blank between them."""
+    return fx.table(spark, d, "lineitem").selectExpr(
+        "concat_ws(' ', 'line', l_orderkey, l_partkey, l_suppkey, l_linenumber, date_format(l_shipdate, 'yyyyMMdd')) "
+        "AS note")
+
+
+@query("g3_pii_line_numbers")
+def _(spark, d):
+    return content.pii_scan(line_numbers(spark, d))
+
+
 @query("f5_increment_null_keys")
 def _(spark, d):
     source, target = orders_pair(spark, d)
