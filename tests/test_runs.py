@@ -131,6 +131,21 @@ def test_stream_resumes_and_replays(spark, pair, tmp_path):
     assert rows(read_stream_results(spark, out)) == [("matched", 1484, 1484), ("missing", 16, 16)]
 
 
+@pytest.mark.parametrize("files", [[[1, 2], [2, 3]], [[1, 2, 2, 3]], [[2], [1, 3], [3, 2]], [[None, 1], [None, 4]]])
+def test_stream_counts_a_key_once_and_keeps_extras(spark, tmp_path, files):
+    from plumbline.operators.keys import key_presence
+    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    target = spark.createDataFrame([(k,) for k in (1, 2, 3, 9, None)], "k long")
+    for i, keys in enumerate(files):
+        spark.createDataFrame([(k,) for k in keys], "k long").coalesce(1).write.mode("append").parquet(folder)
+        stream_reconcile(spark, folder, target.schema, target, "k", out, state).awaitTermination()
+    got = rows(read_stream_results(spark, out, target, "k").where("keys > 0 or source_rows > 0"))
+    source = spark.createDataFrame([(k,) for keys in files for k in keys], "k long")
+    want = rows(key_presence(source, target, ["k"]).groupBy("presence").agg(
+        F.count(F.lit(1)).alias("keys"), F.sum("n_source").alias("source_rows")))
+    assert got == want
+
+
 def specs(source, target, **more):
     return [TableSpec("orders", source, target, ["o_orderkey"], fuzzy_columns=["o_orderpriority"],
                       business_rules={"revenue": "sum(o_totalprice)"}, **more)]

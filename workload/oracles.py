@@ -670,6 +670,16 @@ t AS (SELECT CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey ELSE -1 END AS k FRO
     "f5_stream_reconcile": TARGET + """ SELECT CASE WHEN o_orderkey IN (SELECT o_orderkey FROM target) THEN 'matched'
   ELSE 'missing' END AS presence, count(DISTINCT o_orderkey) AS keys, count(*) AS source_rows FROM orders GROUP BY 1""",
 
+    "f5_stream_two_batches": TARGET + """, s AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0
+  UNION ALL SELECT o_orderkey FROM orders),
+k AS (SELECT o_orderkey, count(*) AS n FROM s GROUP BY o_orderkey),
+t AS (SELECT DISTINCT o_orderkey FROM target),
+p AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM t WHERE t.o_orderkey IS NOT DISTINCT FROM k.o_orderkey) THEN 'matched'
+  ELSE 'missing' END AS presence, n FROM k)
+SELECT presence, count(*) AS keys, sum(n)::BIGINT AS source_rows FROM p GROUP BY presence
+UNION ALL SELECT 'extra' AS presence, count(*) AS keys, 0::BIGINT AS source_rows FROM t
+  WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.o_orderkey IS NOT DISTINCT FROM t.o_orderkey) HAVING count(*) > 0""",
+
     "g1_business_rules": TARGET + ", r AS (" + union([
         f"SELECT '{name}' AS rule_name, round((SELECT {e} FROM orders)::DOUBLE, 2) AS s, round({e}::DOUBLE, 2) AS t FROM target"
         for name, e in (("order_count", "count(*)"), ("total_revenue", "sum(o_totalprice)"),

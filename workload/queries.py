@@ -429,6 +429,17 @@ def _(spark, d):
     return read_stream_results(spark, results)
 
 
+@query("f5_stream_two_batches")
+def _(spark, d):
+    """The orders as two batches that share keys: the even keys first, then all rows; extras of the target count."""
+    source, target = orders_pair(spark, d)
+    folder, results, offsets = (scratch(spark, x) for x in ("files", "stream", "offsets"))
+    for part in (source.where("o_orderkey % 2 = 0"), source):
+        part.write.mode("append").parquet(folder)
+        stream_reconcile(spark, folder, source.schema, target, "o_orderkey", results, offsets).awaitTermination()
+    return read_stream_results(spark, results, target, "o_orderkey")
+
+
 # --- content -----------------------------------------------------------------------------------------------------------
 
 @query("g1_business_rules")
