@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.shared import SPACE, salted_join, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Terms above the band, up to this many (8 MB), are broadcast to drop them early; more are left to the join.
+COMMON_BROADCAST = 1_000_000
 
 
 def terms(text: Column) -> Column:
@@ -46,6 +48,11 @@ def _likeness(a: Column, b: Column, k: int) -> Column:
                        lambda s, x: s + x) / F.lit(float(k))
 
 
+def term_hash(word: Column) -> Column:
+    """A term as 60 bits of its MD5: sorting and joining on integers moves less than on the words."""
+    return F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("long")
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", subsets: int = 4, drop: float = 1 / 3,
                  min_df: int = 2, max_df_share: float = 0.1) -> DataFrame:
     """``(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)`` per row.
@@ -53,47 +60,67 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", subse
     A null text is empty. Document frequencies count rows, repeated rows each. The edited text keeps the first
     n − floor(n/2) code points and appends the first floor(n/2) (or all) code points of the next row's text, rows
     ordered by doc_id ascending with nulls last, then by the SHA-256 of the text; equal rows in any order. The last
-    row's next is the first; a single row is its own next. A text without lexicon terms signs the empty text, so empty
-    texts have equal fingerprints and likeness 1. Equal texts have equal fingerprints. An empty table gives no rows;
-    further columns are ignored."""
+    row's next is the first; a single row is its own next. Terms are compared and sorted as 60-bit hashes of their
+    MD5, and a signature is the SHA-256 of those numbers in rising order, blank-separated. A text without lexicon
+    terms signs the empty text, so empty texts have equal fingerprints and likeness 1. Equal texts have equal
+    fingerprints. An empty table gives no rows; further columns are ignored.
+
+    Only keys are sorted; each text is shipped once by its row, and the next row's text only as far as the edit needs.
+    The row numbers come from the scan order of ``docs``, which a file scan keeps when a task runs again."""
     k = subsets + 1
-    base = docs.select(F.col(key).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    ordered = (base.withColumn("_tie", F.monotonically_increasing_id())
-               .orderBy(F.col("_doc").asc_nulls_last(), F.sha2(F.col("_t"), 256), "_tie")
-               .withColumn("_rid", F.monotonically_increasing_id()).drop("_tie"))
-    ordered = stored(ordered, "imatch-ordered")
+    base = docs.select(F.col(key).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn(
+        "_tie", F.monotonically_increasing_id())
+    ordered = (base.select("_doc", "_tie", F.length("_t").cast("long").alias("n_chars"),
+                           F.sha2(F.col("_t"), 256).alias("_h"))
+               .orderBy(F.col("_doc").asc_nulls_last(), "_h", "_tie")
+               .withColumn("_rid", F.monotonically_increasing_id()).drop("_h"))
+    ordered = stored(ordered, "imatch-keys")
     links = _next_rows(ordered)
-    half = (F.length("_t") / 2).cast("long")
-    nexts = ordered.select(F.col("_rid").alias("_next"), F.col("_t").alias("_nt"))
-    edited = F.concat(F.expr("substring(_t, 1, length(_t) - CAST(length(_t) / 2 AS BIGINT))"),
-                      F.expr("substring(_nt, 1, CAST(length(_t) / 2 AS BIGINT))"))
-    rows = stored(ordered.join(links, "_rid").join(nexts, "_next")
-                  .select("_rid", "_next", "_doc", F.length("_t").cast("long").alias("n_chars"), "_t",
-                          F.when(half > 0, edited).otherwise(F.col("_t")).alias("_e")), "imatch-rows")
-    n = rows.count()
-
-    words = (rows.select("_rid", F.lit(0).alias("_kind"), F.explode(terms(F.col("_t"))).alias("_w"))
-             .unionByName(rows.select("_rid", F.lit(1).alias("_kind"), F.explode(terms(F.col("_e"))).alias("_w"))))
-    counts = words.where(F.col("_kind") == 0).groupBy("_w").agg(F.count(F.lit(1)).alias("_df"))
+    after = ordered.select(F.col("_rid").alias("_next"), F.col("_tie").alias("_next_tie"))
+    keys = stored(ordered.join(links, "_rid").join(after, "_next").withColumn(
+        "_half", (F.col("n_chars") / 2).cast("long")), "imatch-links")
+    n = keys.count()
+    needs = keys.select(F.col("_next_tie").alias("_tie"), F.col("_tie").alias("_for"), "_half")
+    texts = base.select("_tie", "_t")  # shuffled by _tie once: both joins below reuse it
+    prefixes = texts.join(needs, "_tie").select("_for", F.expr("substring(_t, 1, _half)").alias("_p"))
+    head = F.expr("substring(_t, 1, n_chars - _half)")
+    rows = (texts.join(keys, "_tie").join(prefixes, F.col("_tie") == F.col("_for"))
+            .select("_rid", "_next", "_doc", "n_chars", "_t", F.concat(head, F.col("_p")).alias("_e")))
+
+    hashed = lambda t: F.array_distinct(F.transform(terms(t), term_hash))
+    rows = rows.withColumns({"_own": hashed(F.col("_t")), "_ed": hashed(F.col("_e"))})
+    tagged = lambda ws, bits: F.transform(ws, lambda w: F.struct(w.alias("_w"), F.lit(bits).alias("_in")))
+    # each term of a row once, with bit 1 if in its text and bit 2 if in its edited text
+    words = rows.select("_rid", F.explode(F.concat(
+        tagged(F.array_intersect("_own", "_ed"), 3), tagged(F.array_except("_own", "_ed"), 1),
+        tagged(F.array_except("_ed", "_own"), 2))).alias("_x")).select("_rid", "_x._w", "_x._in")
+    counts = words.where(F.col("_in").bitwiseAND(F.lit(1)) != 0).groupBy("_w").agg(F.count(F.lit(1)).alias("_df"))
+    counts = stored(counts, "imatch-counts")
     mask = F.lit(1)
     for j in range(1, k):
-        draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{j}:"), F.col("_w"))), 1, 4), 16, 10).cast("double")
-        mask = mask + F.when(draw >= F.lit(drop * 65536), F.lit(1 << j)).otherwise(F.lit(0))
+        draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{j}:"), F.col("_w").cast("string"))), 1, 4), 16, 10)
+        mask = mask + F.when(draw.cast("double") >= F.lit(drop * 65536), F.lit(1 << j)).otherwise(F.lit(0))
     lexicon = counts.where((F.col("_df") >= min_df) & (F.col("_df") <= F.lit(max_df_share * n))).select(
         "_w", mask.alias("_mask"))
+    # terms above the band are dropped before the shuffle: as their frequencies add up to at most the terms of all
+    # rows, there are fewer than (distinct terms of the largest row) / max_df_share of them
+    common = counts.where(F.col("_df") > F.lit(max_df_share * n)).select("_w")
+    if common.count() <= COMMON_BROADCAST:
+        words = words.join(F.broadcast(common), "_w", "left_anti")
     kept = salted_join(words, lexicon, "_w", "_rid")
-    grouped = kept.groupBy("_rid", "_kind").agg(F.collect_list(F.struct("_w", "_mask")).alias("_terms"))
-    sigs = F.array(*[F.sha2(F.concat_ws(" ", F.array_sort(F.transform(
-        F.filter(F.coalesce(F.col("_terms"), F.array().cast("array<struct<_w:string,_mask:int>>")),
-                 lambda x: (x["_mask"].bitwiseAND(F.lit(1 << j))) != 0), lambda x: x["_w"]))), 256)
-        for j in range(k)])
-    signed = grouped.select("_rid", "_kind", sigs.alias("_sigs"))
+    grouped = kept.groupBy("_rid").agg(F.collect_list(F.struct("_w", "_mask", "_in")).alias("_terms"))
+
+    def signatures(bit: int) -> Column:
+        return F.array(*[F.sha2(F.concat_ws(" ", F.transform(F.array_sort(F.transform(F.filter(
+            F.coalesce(F.col("_terms"), F.array().cast("array<struct<_w:bigint,_mask:int,_in:int>>")),
+            lambda x: (x["_mask"].bitwiseAND(F.lit(1 << j)) != 0) & (x["_in"].bitwiseAND(F.lit(bit)) != 0)),
+            lambda x: x["_w"])), lambda w: w.cast("string"))), 256) for j in range(k)])
+
+    signed = grouped.select("_rid", signatures(1).alias("_own"), signatures(2).alias("_edited"))
     empty = F.array(*[F.sha2(F.lit(""), 256)] * k)
-    mine = signed.where("_kind = 0").select("_rid", F.col("_sigs").alias("_own"))
-    theirs = signed.where("_kind = 1").select("_rid", F.col("_sigs").alias("_edited"))
-    follow = signed.where("_kind = 0").select(F.col("_rid").alias("_next"), F.col("_sigs").alias("_follow"))
+    follow = signed.select(F.col("_rid").alias("_next"), F.col("_own").alias("_follow"))
     out = (rows.select("_rid", "_next", "_doc", "n_chars", F.sha2(F.col("_e"), 256).alias("edited_sha256"))
-           .join(mine, "_rid", "left").join(theirs, "_rid", "left").join(follow, "_next", "left")
+           .join(signed, "_rid", "left").join(follow, "_next", "left")
            .select("*", *[F.coalesce(c, empty).alias(c[1:] + "_") for c in ("_own", "_edited", "_follow")]))
     return out.select(F.col("_doc").alias("doc_id"), "n_chars", "edited_sha256",
                       F.concat_ws(":", "own_").alias("fingerprint"),

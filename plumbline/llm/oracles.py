@@ -96,9 +96,10 @@ w AS (SELECT r, 0 AS kind, unnest({_WORDS.format('t')}) AS w FROM e
   UNION ALL SELECT r, 1 AS kind, unnest({_WORDS.format('et')}) AS w FROM e),
 lex AS (SELECT w FROM w WHERE kind = 0 GROUP BY w HAVING count(*) >= 2 AND count(*) <= 0.1 * (SELECT count(*) FROM e)),
 js AS (SELECT unnest(range(0, 5)) AS j),
-m AS (SELECT w.r, w.kind, js.j, w.w FROM w JOIN lex USING (w) CROSS JOIN js
-  WHERE js.j = 0 OR ('0x' || substr(md5(js.j || ':' || w.w), 1, 4))::INTEGER >= 65536.0 / 3),
-agg AS (SELECT r, kind, j, string_agg(w, ' ' ORDER BY w) AS s FROM m GROUP BY r, kind, j),
+m AS (SELECT w.r, w.kind, js.j, ('0x' || substr(md5(w.w), 1, 15))::BIGINT AS t FROM w JOIN lex USING (w) CROSS JOIN js
+  WHERE js.j = 0 OR ('0x' || substr(md5(js.j || ':' || ('0x' || substr(md5(w.w), 1, 15))::BIGINT), 1, 4))::INTEGER
+    >= 65536.0 / 3),
+agg AS (SELECT r, kind, j, string_agg(t::VARCHAR, ' ' ORDER BY t) AS s FROM m GROUP BY r, kind, j),
 sig AS (SELECT e.r, k.kind, js.j, sha256(coalesce(agg.s, '')) AS h FROM e CROSS JOIN (VALUES (0), (1)) k(kind)
   CROSS JOIN js LEFT JOIN agg ON agg.r = e.r AND agg.kind = k.kind AND agg.j = js.j),
 fp AS (SELECT r, kind, string_agg(h, ':' ORDER BY j) AS f FROM sig GROUP BY r, kind),
