@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.shared import SPACE, salted_join, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Terms above the band, up to this many (8 MB), are broadcast to drop them early; more are left to the join.
-COMMON_BROADCAST = 1_000_000
+#: Terms in more than this share of the rows are frequent; up to FREQUENT_BROADCAST of them (some 16 MB) are looked up
+#: in a broadcast, more by a salted join.
+HOT_SHARE, FREQUENT_BROADCAST = 0.001, 1_000_000
 
 
 def terms(text: Column) -> Column:
@@ -88,7 +89,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", subse
             .select("_rid", "_next", "_doc", "n_chars", "_t", F.concat(head, F.col("_p")).alias("_e")))
 
     hashed = lambda t: F.array_distinct(F.transform(terms(t), term_hash))
-    rows = rows.withColumns({"_own": hashed(F.col("_t")), "_ed": hashed(F.col("_e"))})
+    # the texts are joined once: later jobs read the rows' term hashes from the shared folder
+    rows = stored(rows.select("_rid", "_next", "_doc", "n_chars", F.sha2(F.col("_e"), 256).alias("edited_sha256"),
+                              hashed(F.col("_t")).alias("_own"), hashed(F.col("_e")).alias("_ed")), "imatch-terms")
     tagged = lambda ws, bits: F.transform(ws, lambda w: F.struct(w.alias("_w"), F.lit(bits).alias("_in")))
     # each term of a row once, with bit 1 if in its text and bit 2 if in its edited text
     words = rows.select("_rid", F.explode(F.concat(
@@ -100,14 +103,20 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", subse
     for j in range(1, k):
         draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{j}:"), F.col("_w").cast("string"))), 1, 4), 16, 10)
         mask = mask + F.when(draw.cast("double") >= F.lit(drop * 65536), F.lit(1 << j)).otherwise(F.lit(0))
-    lexicon = counts.where((F.col("_df") >= min_df) & (F.col("_df") <= F.lit(max_df_share * n))).select(
-        "_w", mask.alias("_mask"))
-    # terms above the band are dropped before the shuffle: as their frequencies add up to at most the terms of all
-    # rows, there are fewer than (distinct terms of the largest row) / max_df_share of them
-    common = counts.where(F.col("_df") > F.lit(max_df_share * n)).select("_w")
-    if common.count() <= COMMON_BROADCAST:
-        words = words.join(F.broadcast(common), "_w", "left_anti")
-    kept = salted_join(words, lexicon, "_w", "_rid")
+    in_band = (F.col("_df") >= min_df) & (F.col("_df") <= F.lit(max_df_share * n))
+    lexicon = counts.select("_w", "_df", F.when(in_band, mask).alias("_mask"))  # null mask: outside the band
+    # frequent terms (in more than HOT_SHARE of the rows) are looked up in a broadcast: their frequencies add up to
+    # at most the terms of all rows, so there are at most (distinct terms of the largest row) / HOT_SHARE of them;
+    # every other term holds at most that share of the rows and goes through a plain shuffled join
+    frequent = lexicon.where(F.col("_df") > F.lit(HOT_SHARE * n))
+    if frequent.count() <= FREQUENT_BROADCAST:
+        looked = words.join(F.broadcast(frequent.select("_w", F.col("_mask").alias("_hot"), F.lit(True).alias("_f"))),
+                            "_w", "left")
+        rare = lexicon.where((F.col("_df") <= F.lit(HOT_SHARE * n)) & F.col("_mask").isNotNull()).select("_w", "_mask")
+        kept = (looked.where(F.col("_f") & F.col("_hot").isNotNull()).select("_rid", "_w", "_in", F.col("_hot").alias("_mask"))
+                .unionByName(looked.where(F.col("_f").isNull()).drop("_hot", "_f").join(rare, "_w")))
+    else:
+        kept = salted_join(words, lexicon.where(F.col("_mask").isNotNull()).select("_w", "_mask"), "_w", "_rid")
     grouped = kept.groupBy("_rid").agg(F.collect_list(F.struct("_w", "_mask", "_in")).alias("_terms"))
 
     def signatures(bit: int) -> Column:
@@ -119,7 +128,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", subse
     signed = grouped.select("_rid", signatures(1).alias("_own"), signatures(2).alias("_edited"))
     empty = F.array(*[F.sha2(F.lit(""), 256)] * k)
     follow = signed.select(F.col("_rid").alias("_next"), F.col("_own").alias("_follow"))
-    out = (rows.select("_rid", "_next", "_doc", "n_chars", F.sha2(F.col("_e"), 256).alias("edited_sha256"))
+    out = (rows.select("_rid", "_next", "_doc", "n_chars", "edited_sha256")
            .join(signed, "_rid", "left").join(follow, "_next", "left")
            .select("*", *[F.coalesce(c, empty).alias(c[1:] + "_") for c in ("_own", "_edited", "_follow")]))
     return out.select(F.col("_doc").alias("doc_id"), "n_chars", "edited_sha256",
