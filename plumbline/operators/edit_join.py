@@ -197,7 +197,13 @@ def edit_pairs(left: DataFrame, right: DataFrame, radius: Callable[[Column], Col
     wide = lambda x: x["k"] > _SEGMENT_K
 
     lhs = left.select("a", radius(size).cast("int").alias("k"))
-    around = F.sequence(F.greatest(F.length("b") - largest, F.lit(0)), F.length("b") + largest)
+    # partner lengths: those that occur on the left, where fewer than the 2 * largest + 1 around each right string
+    occurring = [r[0] for r in left.select(F.length("a").alias("n")).distinct().limit(2 * largest + 2).collect()]
+    if len(occurring) <= 2 * largest + 1:
+        around = F.filter(F.array(*[F.lit(int(n)) for n in sorted(occurring)]).cast("array<int>"),
+                          lambda n: F.abs(n - F.length("b")) <= largest)
+    else:
+        around = F.sequence(F.greatest(F.length("b") - largest, F.lit(0)), F.length("b") + largest)
     partners = F.filter(
         F.transform(around, lambda n: F.struct(n.alias("size"), radius(n).cast("int").alias("k"))),
         lambda x: F.abs(x["size"] - F.length("b")) <= x["k"])
