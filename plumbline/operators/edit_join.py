@@ -154,13 +154,32 @@ def _spread(left: DataFrame, right: DataFrame, sizes: DataFrame) -> tuple[DataFr
     return out[0], out[1]
 
 
+#: Busy keys (over _TASK comparisons) up to this many are broadcast to the sides: each has more than 1000 strings on
+#: one side, so there are fewer than a thousandth of all key rows of them.
+_BUSY_BROADCAST = 1_000_000
+
+
+def _salted_pairs(lhs: DataFrame, rhs: DataFrame, largest: int, small: bool) -> DataFrame:
+    """Verified pairs of equal keys, with busy keys split over salts as for segments."""
+    if small:
+        return _close_pairs(lhs, rhs, largest, small=True)
+    sizes = (lhs.groupBy("key").agg(F.count(F.lit(1)).alias("n_left"))
+             .join(rhs.groupBy("key").agg(F.count(F.lit(1)).alias("n_right")), "key"))
+    sizes = checkpoint(sizes.where(F.col("n_left") * F.col("n_right") > _TASK))
+    if sizes.isEmpty():
+        return _close_pairs(lhs, rhs, largest)
+    if sizes.count() <= _BUSY_BROADCAST:
+        sizes = F.broadcast(sizes)
+    return _close_pairs(*_spread(lhs, rhs, sizes), largest, ("key", "salt"))
+
+
 def _by_deletions(left: DataFrame, right: DataFrame, largest: int, small: bool) -> DataFrame:
     """Close pairs of ``(a, k)`` and ``(b, ks)``, where ``ks`` lists the radii of possible partners."""
     k = F.col("k")
     lhs = left.select("a", "k", F.explode(_deletions(F.col("a"), k, largest)).alias("key"))
     rhs = right.select("b", F.explode("ks").alias("k")).select(
         "b", F.explode(_deletions(F.col("b"), k, largest)).alias("key"))
-    return _close_pairs(lhs, rhs, largest, small=small)
+    return _salted_pairs(lhs, rhs, largest, small)
 
 
 def _radii(partners: str, keep: Callable[[Column], Column]) -> Column:
@@ -176,8 +195,7 @@ def _by_grams(left: DataFrame, right: DataFrame, largest: int, small: bool) -> D
     rhs = (right.select("b", F.explode(kinds).alias("x")).select("b", "x.k", "x.q")
            .where(F.length("b") >= F.col("q")))
     frequencies = _gram_frequencies((lhs, "a"), (rhs, "b"))
-    return _close_pairs(_rare_grams(lhs, "a", frequencies), _rare_grams(rhs, "b", frequencies), largest,
-                        small=small)
+    return _salted_pairs(_rare_grams(lhs, "a", frequencies), _rare_grams(rhs, "b", frequencies), largest, small)
 
 
 def edit_pairs(left: DataFrame, right: DataFrame, radius: Callable[[Column], Column], largest_radius: int,
