@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,55 +130,63 @@ def has_pii(text: Column, kind: str) -> Column:
     A card number is 13 to 19 digits that pass the Luhn check, with single blanks or hyphens between them; it begins and
     ends where a group of digits does, so it is found next to other numbers and never inside a longer one.
     """
-    pattern = PII_VALUES[kind]
     if kind != "card_number":
-        return _NECESSARY[kind](text) & text.rlike(pattern)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.flatten(F.transform(found, lambda piece: F.split(piece, "[ -][ -]+")))
-    return F.exists(pieces, lambda piece: _holds_card(F.split(piece, "[ -]")))
+        return _NECESSARY[kind](text) & text.rlike(PII_VALUES[kind])
+    enough = text.rlike(f"[0-9](?:[ -]?[0-9]){{{CARD_DIGITS[0] - 1}}}")  # only such texts go to Python
+    return enough & _card_search()(F.when(enough, text))
 
 
 #: Digits of a card number, least and most.
 CARD_DIGITS = (13, 19)
+_CARD_SEGMENT = 1 << 20  # bytes looked at together
 
 
-def _group_sums(group: Column) -> Column:
-    """``(n, plain, shifted)`` of a group of digits: its length, and its Luhn sums when its last digit is not doubled and
-    when it is. Groups longer than a card are only measured."""
-    def add(acc: Column, char: Column) -> Column:
-        d = char.cast("int")
-        doubled = F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)
-        even = acc["i"] % 2 == 0
-        return F.struct((acc["i"] + 1).alias("i"), (acc["plain"] + F.when(even, d).otherwise(doubled)).alias("plain"),
-                        (acc["shifted"] + F.when(even, doubled).otherwise(d)).alias("shifted"))
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("plain"), F.lit(0).alias("shifted"))
-    sums = F.aggregate(F.split(F.reverse(group), "(?<=.)(?=.)"), start, add)
-    short = F.length(group) <= CARD_DIGITS[1]
-    return F.struct(F.length(group).alias("n"), F.when(short, sums["plain"]).otherwise(0).alias("plain"),
-                    F.when(short, sums["shifted"]).otherwise(0).alias("shifted"))
-
-
-def _holds_card(groups: Column) -> Column:
-    """True when neighbouring whole groups of digits make up a card number: 13 to 19 digits passing the Luhn check.
-
-    Each group is measured once; from every last group, the window grows leftwards by whole groups while it can still
-    be a card (19 groups at most, as each has a digit), adding a group's sum in the parity that the digits to its right
-    give it. Linear in the number of groups, however long the text."""
-    low, high = CARD_DIGITS
-
-    def ends_at(sums: Column, last: Column) -> Column:
-        def grow(acc: Column, i: Column) -> Column:
-            g = F.element_at(sums, i)
-            n = acc["n"] + g["n"]
-            total = acc["sum"] + F.when(acc["n"] % 2 == 0, g["plain"]).otherwise(g["shifted"])
-            return F.struct(n.alias("n"), total.alias("sum"),
-                            (acc["found"] | (n.between(low, high) & (total % 10 == 0))).alias("found"))
-        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"), F.lit(False).alias("found"))
-        return F.aggregate(F.sequence(last, F.greatest(F.lit(1), last - (high - 1)), F.lit(-1)), start, grow)["found"]
-
-    # the sums are bound once as a lambda variable, then read by position
-    return F.exists(F.array(F.transform(groups, _group_sums)),
-                    lambda sums: F.exists(F.sequence(F.lit(1), F.size(sums)), lambda last: ends_at(sums, last)))
+def _card_search():
+    """Arrow function telling for each text whether it holds a card number, by NumPy over the bytes of all texts.
+
+    Two running sums of the digits' Luhn values, one for each parity, give the sum of every window by two lookups. Long
+    buffers are read in overlapping segments, so memory is fixed beyond the texts; the work is linear in their bytes.
+    The function is nested, so its code travels with the job.
+    """
+    (low, high), segment = CARD_DIGITS, _CARD_SEGMENT
+
+    def search(texts: pa.Array) -> pa.Array:
+        filled = pc.fill_null(texts.cast(pa.large_string()), "")
+        offsets = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset:filled.offset + len(filled) + 1]
+        raw = filled.buffers()[2]
+        data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+        found = np.zeros(len(filled), bool)
+        for at in range(int(offsets[0]), int(offsets[-1]), segment) if len(filled) else ():
+            # windows that begin here reach 2 * high - 1 bytes; one byte more on each side shows where groups end
+            begin, end = max(at - 1, int(offsets[0])), min(at + segment + 2 * high, int(offsets[-1]))
+            piece = data[begin:end]
+            where = np.flatnonzero((piece >= 48) & (piece <= 57))
+            if len(where) < low:
+                continue
+            digits = piece[where].astype(np.int64) - 48
+            doubled = np.where(digits > 4, 2 * digits - 9, 2 * digits)
+            even = np.arange(len(where)) % 2 == 0
+            sums = np.zeros((2, len(where) + 1), np.int64)  # by the parity of the place that isn't doubled
+            np.cumsum(np.where(even, digits, doubled), out=sums[0, 1:])
+            np.cumsum(np.where(even, doubled, digits), out=sums[1, 1:])
+            row = np.searchsorted(offsets, where + begin, "right")
+            gap = np.diff(where)
+            between = piece[where[:-1] + 1]
+            same = row[1:] == row[:-1]
+            group = same & (gap == 1)
+            linked = group | (same & (gap == 2) & ((between == 32) | (between == 45)))
+            run = np.concatenate(([0], np.cumsum(~linked)))
+            starts = np.concatenate(([True], ~group)) & (where + begin >= at) & (where + begin < at + segment)
+            ends = np.concatenate((~group, [True]))
+            for n in range(low, min(high, len(where)) + 1):
+                first = np.flatnonzero(starts[:len(where) - n + 1] & ends[n - 1:])
+                last = first + n - 1
+                first, last = first[run[first] == run[last]], last[run[first] == run[last]]
+                total = sums[last % 2, last + 1] - sums[last % 2, first]
+                found[row[first[total % 10 == 0]] - 1] = True
+        return pa.array(found, mask=texts.is_null().to_numpy(zero_copy_only=False))
+
+    return F.arrow_udf(search, "boolean")
 
 
 def pii_scan(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 import re
 import time
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +256,30 @@ def test_card_search_is_linear(spark):
     started = time.time()
     assert not any(r["got"] for r in df.select(content.has_pii(F.col("note"), "card_number").alias("got")).collect())
     assert time.time() - started < 30
+
+
+def test_card_search_of_many_lines(spark):
+    """Lines of many short numbers: as many as 200,000 in a few seconds, whatever lies next to them in a batch."""
+    lines = F.concat_ws(" ", F.lit("line"), F.col("id"), (F.col("id") * 7919) % 200000, (F.col("id") * 31) % 10000,
+                        F.col("id") % 7, F.lit("19960313"))
+    df = spark.range(0, 200_000, 1, 2).select(lines.alias("note"))
+    started = time.time()
+    got = df.agg(F.count_if(content.has_pii(F.col("note"), "card_number"))).first()[0]
+    assert time.time() - started < 6
+    notes = [r["note"] for r in df.where("crc32(note) % 200 = 0").collect()]
+    some = spark.createDataFrame([(n,) for n in notes], "note string")
+    found = [r[0] for r in some.select(content.has_pii(F.col("note"), "card_number")).collect()]
+    assert found == [_brute_card(n) for n in notes] and 0 < got < 200_000
+
+
+def test_card_search_across_segments(monkeypatch):
+    """Numbers that cross a segment's border are found, and numbers of two rows never make up one."""
+    monkeypatch.setattr(content, "_CARD_SEGMENT", 16)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("0123456789 -x") for _ in range(rng.randint(0, 70))) for _ in range(2000)]
+    texts += [None, "", "41111111", "11111111", "4111-1111 1111 1111", "é 4111 1111 1111 1111 é"]
+    for cut in (texts, texts[:1], []):
+        got = content._card_search().func(pa.array(cut, pa.string())).to_pylist()
+        assert got == [_brute_card(t) for t in cut]
+    assert content._card_search().func(pa.array(texts, pa.string()).slice(5, 300)).to_pylist() == [
+        _brute_card(t) for t in texts[5:305]]
