@@ -9,7 +9,8 @@ Close strings share keys, and the keys are what is joined on. Three kinds of key
 * for crowded strings too long for that, and for wide radii, where segments get too many: their q k + 1 rarest q-grams,
   which k edits can't all change either, so that the common text plays no part.
 
-Every candidate is verified, so the result is exact.
+Every candidate is verified, so the result is exact. Before its distance is computed, a candidate must pass a bound on
+bit sets of its characters: strings with d characters that the other lacks are at least d edits apart.
 """
 
 from __future__ import annotations
@@ -43,6 +44,37 @@ def _limits(k: Column, largest: int, variants: int) -> Column:
     return F.when(k <= _DELETION_K, F.element_at(table, F.least(k, F.lit(_DELETION_K)) + 1)).otherwise(k)
 
 
+# --- character sets ---------------------------------------------------------------------------------------------------
+
+_WORDS = 4  # longs of a character set
+
+
+def with_characters(strings: DataFrame, text: str) -> DataFrame:
+    """Add ``<text>_set``, unless it is there: bits of the pairs (character, its first, second, ... occurrence), hashed.
+    Pairs that share a bit only make the bound looser."""
+    name = f"{text}_set"
+    if name in strings.columns:
+        return strings
+    whole = F.col(text)
+    each = lambda c: F.transform(
+        F.sequence(F.lit(1), F.length(whole) - F.length(F.replace(whole, c, F.lit("")))),
+        lambda i: F.pmod(F.xxhash64(c, i), F.lit(64 * _WORDS)).cast("int"))
+    places = F.flatten(F.transform(F.array_distinct(F.filter(F.split(whole, ""), lambda c: c != F.lit(""))), each))
+    word = lambda w: F.aggregate(
+        F.filter("_places", lambda x: F.shiftright(x, 6) == w), F.lit(0).cast("long"),
+        lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)))))
+    return (strings.withColumn("_places", places)
+            .withColumn(name, F.struct(*[word(w).alias(f"w{w}") for w in range(_WORDS)])).drop("_places"))
+
+
+def _may_be_close() -> Column:
+    """False only for strings more than k edits apart."""
+    def lacking(x: str, y: str) -> Column:
+        return sum((F.bit_count(F.col(f"{x}_set.w{w}").bitwiseAND(F.bitwise_not(F.col(f"{y}_set.w{w}"))))
+                    for w in range(_WORDS)), F.lit(0))
+    return (lacking("a", "b") <= F.col("k")) & (lacking("b", "a") <= F.col("k"))
+
+
 # --- deletion variants ------------------------------------------------------------------------------------------------
 
 def _deletions(text: Column, k: Column, largest: int) -> Column:
@@ -74,12 +106,12 @@ def _left_segments(left: DataFrame) -> DataFrame:
     cut = left.withColumn("size", F.length("a")).select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("j"))
     start = _segment_start(F.col("j"), F.col("size"), F.col("k"))
     width = _segment_start(F.col("j") + 1, F.col("size"), F.col("k")) - start
-    return cut.select("a", "k", F.xxhash64("size", "k", "j", F.substring("a", start + 1, width)).alias("key"))
+    return cut.select("a", "a_set", "k", F.xxhash64("size", "k", "j", F.substring("a", start + 1, width)).alias("key"))
 
 
 def _right_segments(right: DataFrame) -> DataFrame:
     """Substrings of ``b`` at the places where a segment of a partner of each possible length could lie."""
-    cut = (right.select("b", F.explode("partners").alias("x")).select("b", "x.size", "x.k")
+    cut = (right.select("b", "b_set", F.explode("partners").alias("x")).select("b", "b_set", "x.size", "x.k")
            .select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("j")))
     k, j = F.col("k"), F.col("j")
     start = _segment_start(j, F.col("size"), k)
@@ -90,7 +122,8 @@ def _right_segments(right: DataFrame) -> DataFrame:
     last = F.least(start + F.least(j, longer_by + (k - j)), F.length("b") - width)
     placed = cut.withColumns({"width": width, "first": first, "last": last}).where("first <= last")
     at = placed.withColumn("at", F.explode(F.sequence("first", "last")))
-    return at.select("b", F.xxhash64("size", "k", "j", F.substring("b", F.col("at") + 1, F.col("width"))).alias("key"))
+    return at.select("b", "b_set",
+                     F.xxhash64("size", "k", "j", F.substring("b", F.col("at") + 1, F.col("width"))).alias("key"))
 
 
 # --- rarest q-grams ---------------------------------------------------------------------------------------------------
@@ -110,12 +143,13 @@ def _bucket(gram: Column) -> Column:
 
 def _rare_grams(strings: DataFrame, text: str, frequencies: DataFrame) -> DataFrame:
     """Keys of the q k + 1 rarest q-grams of each string; a repeated q-gram counts once per occurrence."""
-    grams = strings.select(text, "k", "q", F.explode(_grams(F.col(text), F.col("q"))).alias("gram"))
+    bits = f"{text}_set"
+    grams = strings.select(text, bits, "k", "q", F.explode(_grams(F.col(text), F.col("q"))).alias("gram"))
     ranked = grams.withColumn("bucket", _bucket(F.col("gram"))).join(F.broadcast(frequencies), "bucket")  # _BUCKETS rows
     rarest = F.slice(F.array_sort(F.collect_list(F.struct("n", "gram"))), F.lit(1), F.col("q") * F.col("k") + 1)
-    per_string = ranked.groupBy(text, "k", "q").agg(rarest.alias("rarest"))  # as many as the string has characters
+    per_string = ranked.groupBy(text, bits, "k", "q").agg(rarest.alias("rarest"))  # as many as the string has characters
     keys = F.transform("rarest", lambda x, i: F.xxhash64(x["gram"], i - F.array_position("rarest", x), "q", "k"))
-    return per_string.select(text, "k", F.explode(keys).alias("key"))
+    return per_string.select(text, bits, "k", F.explode(keys).alias("key"))
 
 
 def _gram_frequencies(*sides: tuple[DataFrame, str]) -> DataFrame:
@@ -130,11 +164,11 @@ def _gram_frequencies(*sides: tuple[DataFrame, str]) -> DataFrame:
 def _close_pairs(left: DataFrame, right: DataFrame, largest: int, on: Sequence[str] = ("key",),
                  small: bool = False) -> DataFrame:
     """Verified pairs of equal keys. ``small`` says that the left side holds at most ``crowd`` strings."""
-    near = F.abs(F.length("a") - F.length("b")) <= F.col("k")
-    lhs = left.select("a", "k", *on)
-    return ((F.broadcast(lhs) if small else lhs).join(right.select("b", *on), list(on)).where(near)
-            .withColumn("distance", F.levenshtein("a", "b", largest))  # -1 beyond the largest
-            .where((F.col("distance") >= 0) & (F.col("distance") <= F.col("k"))).select("a", "b", "distance"))
+    near = (F.abs(F.length("a") - F.length("b")) <= F.col("k")) & _may_be_close()
+    lhs = left.select("a", "a_set", "k", *on)
+    distance = F.levenshtein("a", "b", largest)  # -1 beyond the largest, which the mask makes large; evaluated once
+    return ((F.broadcast(lhs) if small else lhs).join(right.select("b", "b_set", *on), list(on)).where(near)
+            .where(distance.bitwiseAND(F.lit(0x7FFFFFFF)) <= F.col("k")).select("a", "b", distance.alias("distance")))
 
 
 _TASK = 1_000_000  # comparisons of one key in one task
@@ -176,9 +210,9 @@ def _salted_pairs(lhs: DataFrame, rhs: DataFrame, largest: int, small: bool) ->
 def _by_deletions(left: DataFrame, right: DataFrame, largest: int, small: bool) -> DataFrame:
     """Close pairs of ``(a, k)`` and ``(b, ks)``, where ``ks`` lists the radii of possible partners."""
     k = F.col("k")
-    lhs = left.select("a", "k", F.explode(_deletions(F.col("a"), k, largest)).alias("key"))
-    rhs = right.select("b", F.explode("ks").alias("k")).select(
-        "b", F.explode(_deletions(F.col("b"), k, largest)).alias("key"))
+    lhs = left.select("a", "a_set", "k", F.explode(_deletions(F.col("a"), k, largest)).alias("key"))
+    rhs = right.select("b", "b_set", F.explode("ks").alias("k")).select(
+        "b", "b_set", F.explode(_deletions(F.col("b"), k, largest)).alias("key"))
     return _salted_pairs(lhs, rhs, largest, small)
 
 
@@ -192,7 +226,7 @@ def _by_grams(left: DataFrame, right: DataFrame, largest: int, small: bool) -> D
     lhs = left.withColumn("q", _gram_size(F.length("a"), k))
     kinds = F.array_distinct(F.transform("partners", lambda x: F.struct(
         x["k"].alias("k"), _gram_size(x["size"], x["k"]).alias("q"))))
-    rhs = (right.select("b", F.explode(kinds).alias("x")).select("b", "x.k", "x.q")
+    rhs = (right.select("b", "b_set", F.explode(kinds).alias("x")).select("b", "b_set", "x.k", "x.q")
            .where(F.length("b") >= F.col("q")))
     frequencies = _gram_frequencies((lhs, "a"), (rhs, "b"))
     return _salted_pairs(_rare_grams(lhs, "a", frequencies), _rare_grams(rhs, "b", frequencies), largest, small)
@@ -214,7 +248,8 @@ def edit_pairs(left: DataFrame, right: DataFrame, radius: Callable[[Column], Col
     many = lambda x: x["size"] <= _limits(x["k"], largest, _MANY_VARIANTS)
     wide = lambda x: x["k"] > _SEGMENT_K
 
-    lhs = left.select("a", radius(size).cast("int").alias("k"))
+    left, right = with_characters(left, "a"), with_characters(right, "b")
+    lhs = left.select("a", "a_set", radius(size).cast("int").alias("k"))
     # partner lengths: those that occur on the left, where fewer than the 2 * largest + 1 around each right string
     occurring = [r[0] for r in left.select(F.length("a").alias("n")).distinct().limit(2 * largest + 2).collect()]
     if len(occurring) <= 2 * largest + 1:
@@ -225,16 +260,16 @@ def edit_pairs(left: DataFrame, right: DataFrame, radius: Callable[[Column], Col
     partners = F.filter(
         F.transform(around, lambda n: F.struct(n.alias("size"), radius(n).cast("int").alias("k"))),
         lambda x: F.abs(x["size"] - F.length("b")) <= x["k"])
-    rhs = right.select("b", partners.alias("partners"))
+    rhs = right.select("b", "b_set", partners.alias("partners"))
     is_few = size <= _limits(k, largest, _FEW_VARIANTS)
-    pairs = _by_deletions(lhs.where(is_few), rhs.select("b", _radii("partners", few).alias("ks")), largest, small)
+    pairs = _by_deletions(lhs.where(is_few), rhs.select("b", "b_set", _radii("partners", few).alias("ks")), largest, small)
     lhs = lhs.where(~is_few)
-    rhs = rhs.select("b", F.filter("partners", lambda x: ~few(x)).alias("partners"))
+    rhs = rhs.select("b", "b_set", F.filter("partners", lambda x: ~few(x)).alias("partners"))
     if largest > _SEGMENT_K:
         pairs = pairs.unionByName(_by_grams(
-            lhs.where(k > _SEGMENT_K), rhs.select("b", F.filter("partners", wide).alias("partners")), largest, small))
+            lhs.where(k > _SEGMENT_K), rhs.select("b", "b_set", F.filter("partners", wide).alias("partners")), largest, small))
         lhs = lhs.where(k <= _SEGMENT_K)
-        rhs = rhs.select("b", F.filter("partners", lambda x: ~wide(x)).alias("partners"))
+        rhs = rhs.select("b", "b_set", F.filter("partners", lambda x: ~wide(x)).alias("partners"))
 
     left_cut, right_cut = _left_segments(lhs), _right_segments(rhs)
     if small:
@@ -250,14 +285,14 @@ def edit_pairs(left: DataFrame, right: DataFrame, radius: Callable[[Column], Col
 
     cool = [side.join(hot, "key", "left_anti") for side in (left_cut, right_cut)]
     pairs = pairs.unionByName(_close_pairs(*_spread(*cool, sizes), largest, salted))
-    crowded_left = checkpoint(left_cut.join(hot, "key", "left_semi").select("a", "k").distinct())
+    crowded_left = checkpoint(left_cut.join(hot, "key", "left_semi").select("a", "a_set", "k").distinct())
     crowded_b = right_cut.join(hot, "key", "left_semi").select("b").distinct()
     crowded_right = checkpoint(rhs.join(crowded_b, "b", "left_semi"))
     is_many = size <= _limits(k, largest, _MANY_VARIANTS)
     pairs = pairs.unionByName(_by_deletions(
-        crowded_left.where(is_many), crowded_right.select("b", _radii("partners", many).alias("ks")), largest, False))
+        crowded_left.where(is_many), crowded_right.select("b", "b_set", _radii("partners", many).alias("ks")), largest, False))
     crowded_long = crowded_left.where(~is_many)
     if not crowded_long.isEmpty():
-        others = crowded_right.select("b", F.filter("partners", lambda x: ~many(x)).alias("partners"))
+        others = crowded_right.select("b", "b_set", F.filter("partners", lambda x: ~many(x)).alias("partners"))
         pairs = pairs.unionByName(_by_grams(crowded_long, others, largest, False))
     return pairs.distinct()

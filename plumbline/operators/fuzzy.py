@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.hashing import canonical_text, short_key_sql
 from plumbline.functions.text import name_similarity, similarity
 from plumbline.functions.verdicts import FAIL, HIGH, MEDIUM, WARN, verdict
-from plumbline.operators.edit_join import edit_pairs
+from plumbline.operators.edit_join import edit_pairs, with_characters
 from plumbline.sources.workspace import checkpoint
 
 
@@ -30,13 +30,13 @@ def fuzzy_match(source: DataFrame, source_col: str, target: DataFrame, target_co
     """For each distinct source value its nearest target value, if that is similar enough but not equal.
 
     Ties go to the smallest target value. A value that occurs in the target is dropped. The search widens its radius
-    step by step and carries on only with the values that have found nothing, so values with many distant
-    neighbours never list them all.
+    by one edit at a time (by a quarter from 8 on) and carries on only with the values that have found nothing, so a
+    value lists its nearest neighbours and few beyond them.
     """
     values = source.where(F.col(source_col).isNotNull()).select(F.col(source_col).alias("a")).distinct()
     others = target.where(F.col(target_col).isNotNull()).select(F.col(target_col).alias("b")).distinct()
-    others = checkpoint(others.repartition(_tasks(others)))
-    pending = checkpoint(values.join(others, F.col("a") == F.col("b"), "left_anti"))
+    others = checkpoint(with_characters(others.repartition(_tasks(others)), "b"))
+    pending = checkpoint(with_characters(values.join(others, F.col("a") == F.col("b"), "left_anti"), "a"))
     longest = pending.agg(F.coalesce(F.max(F.length("a")), F.lit(0))).first()[0]
 
     def limit(length: Column) -> Column:
@@ -58,7 +58,7 @@ def fuzzy_match(source: DataFrame, source_col: str, target: DataFrame, target_co
         left = pending.count()
         if left == 0:
             break
-        reach *= 2
+        reach = max(reach + 1, reach * 5 // 4)
     scored = nearest.select(F.col("a").alias("source_value"), F.col("b").alias("target_value"), "distance",
                             similarity(F.col("a"), F.col("b")).alias("similarity"))
     return scored.where((F.col("similarity") >= threshold) & (F.col("similarity") < 1))

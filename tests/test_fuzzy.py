@@ -142,3 +142,17 @@ def test_a_small_left_side_is_broadcast(spark):
     assert got == sorted(want, key=str)
     plan = edit_pairs(left, right, lambda n: F.lit(3), 3, left_rows=20)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_character_sets_never_rule_out_a_close_pair(spark):
+    """The bound on character sets is at most the distance, for any characters, and tight for foreign ones."""
+    from plumbline.operators import edit_join
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab9/😀é") for _ in range(rng.randint(0, 15))) for _ in range(60)] + ["", "x" * 400, "x" * 397]
+    pairs = [(a, b, distance(a, b)) for a in texts for b in rng.sample(texts, 12)]
+    df = spark.createDataFrame(pairs, "a string, b string, k int")
+    df = edit_join.with_characters(edit_join.with_characters(df, "a"), "b")
+    assert df.where(~edit_join._may_be_close()).isEmpty()
+    far = spark.createDataFrame([("abcdef", "uvwxyz", 5)], "a string, b string, k int")
+    far = edit_join.with_characters(edit_join.with_characters(far, "a"), "b")
+    assert far.where(edit_join._may_be_close()).isEmpty()
