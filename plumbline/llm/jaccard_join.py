@@ -35,6 +35,7 @@ _LONGEST = 6  # the largest l that is tried
 #: Rank of a counter of 20,000, from which on its shingles are dealt out by document.
 CROWD = 14_600
 _VERIFY = 20.0  # cost of verifying a candidate, in prefix rows
+_FEW_PAIRS = 8  # prefix rows for each pair that may be listed before leaders have linked what they can
 
 
 def _scan(size: int):
@@ -242,13 +243,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, star_r
     rows = stored(rows.join(other, "doc_id", "left").withColumn("doc_id", F.coalesce("rep", "doc_id")).drop("rep")
                   .groupBy("token", "doc_id").agg(F.first("n").alias("n"), F.first("at").alias("at"),
                                                   F.first("need").alias("need")), "class-prefixes")
-    bound = 8 * rows.count() + 1_000_000
-    links, labels = None, None
+    bound = rows.count() // _FEW_PAIRS
+    links, labels, before = None, None, float("inf")
     for _ in range(star_rounds):
         current = _labelled(rows, labels)
         cost = _open_groups(current).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")).first()["pairs"]
-        if cost <= bound:
-            break
+        if cost <= bound or cost > 0.9 * before:
+            break  # few are left, or another round would hardly spare any
+        before = cost
         found = stored(_verified(docs, _leader_pairs(current, percent), size, percent), "links")
         if found.isEmpty():
             break  # leaders link no more: what is left is listed below, every pair of it

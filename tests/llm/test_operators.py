@@ -226,3 +226,23 @@ def test_cross_parsing(spark):
     assert got[101].lang_pred == got[102].lang_pred == got[103].lang_pred == "und"
     assert all(0 <= r.score <= 1 for r in got.values())
     assert {r.lang_pred for r in cross_parsing.identify(documents(spark, [(1, "ab")]).where("doc_id > 1")).collect()} == set()
+
+
+def test_near_copies_are_linked_through_leaders(spark, monkeypatch):
+    """Of 150 near copies no pair is listed once leaders have linked them; unlike texts with a common line stay apart."""
+    words = [f"t{j}" for j in range(100)]
+    copies = [(i, " ".join(w if j != i % 100 else f"new{i}" for j, w in enumerate(words))) for i in range(1, 151)]
+    line = "all rights reserved by the owners of this page"
+    unlike = [(1000 + i, " ".join(f"u{i}x{j}" for j in range(30)) + f" {line}") for i in range(150)]
+    listed, stored = [], jaccard_join.stored
+
+    def watched(df, name):
+        got = stored(df, name)
+        if name == "candidates":
+            listed.append(got.count())
+        return got
+
+    monkeypatch.setattr(jaccard_join, "stored", watched)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(documents(spark, copies + unlike)).collect()}
+    assert got == {i: 1 if i < 1000 else i for i, _ in copies + unlike}
+    assert listed == [0]
