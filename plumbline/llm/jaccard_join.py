@@ -3,7 +3,9 @@
 All shingles are put in one global order, rare ones first. Two sets of similarity t that share at least T shingles
 share at least l of them among the first ``n - T + l`` of each. Every document picks its own l: where its prefix
 holds frequent shingles, a longer prefix that demands more shared shingles costs fewer candidates. A pair is verified
-if it shares ``min(l of both)`` prefix shingles at positions that leave room for T.
+if it shares ``min(l of both)`` prefix shingles and the first shared one stands where it leaves room for T. Only that
+first one lists the pair: near copies of a text that differ too much to link share most of its shingles, but each has
+so many of its own, which come first, that no shared one leaves room.
 
 Order and costs come from exact counts over all documents in a table of fixed size (``BUCKETS`` hashed counters, added
 up by Spark). Any order is right for the method, so counters that shingles share cost time and never a pair.
@@ -184,10 +186,33 @@ def _open_groups(rows: DataFrame) -> DataFrame:
             .where("parts > 1").select("token", ((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs")))
 
 
+def _first_shared(rows: DataFrame, percent: int) -> DataFrame:
+    """Prefix rows whose shingle may be the first, in the global order, that the document shares with one it links to.
+
+    No shingle before the first is shared, so the overlap is at most ``n - at``. A link needs
+    ``percent / (100 + percent)`` of both sizes, and the other size is at least that of the smallest set that holds the
+    shingle and at least ``percent`` of ``n``."""
+    low = rows.groupBy("token").agg(F.min("n").alias("low"))
+    return (rows.where(f"100L * (n - at) >= {percent}L * n").join(low, "token")
+            .where(f"{100 + percent}L * (n - at) >= {percent}L * (n + low)").drop("low"))
+
+
 def _room(percent: int) -> str:
-    """Both sizes fit, and what follows the shared shingle still leaves room for the overlap that is needed."""
-    return (f"100 * least(n, n_b) >= {percent} * greatest(n, n_b) AND "
-            f"{100 + percent} * (least(need, need_b) - 1 + least(n - at, n_b - at_b)) >= {percent} * (n + n_b)")
+    """Both sizes fit, and were the shingle the first shared one, it and what follows would leave room for the overlap
+    that is needed."""
+    return (f"100L * least(n, n_b) >= {percent}L * greatest(n, n_b) AND "
+            f"{100 + percent}L * least(n - at, n_b - at_b) >= {percent}L * (n + n_b)")
+
+
+def _enough(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs that share as many prefix shingles as both demand; a prefix travels as one array."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = stored(rows.join(ids, "doc_id", "left_semi").groupBy("doc_id")
+                  .agg(F.collect_list("token").alias("tokens"), F.first("need").alias("need")), "prefix-sets")
+    side = lambda x: sets.select(*[F.col(c).alias(d) for c, d in
+                                   (("doc_id", x), ("tokens", f"tokens_{x}"), ("need", f"need_{x}"))])
+    return (pairs.join(side("a"), "a").join(side("b"), "b")
+            .where("size(array_intersect(tokens_a, tokens_b)) >= least(need_a, need_b)").select("a", "b"))
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, star_rounds: int = 12) -> DataFrame:
@@ -256,13 +281,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75, star_r
             break  # leaders link no more: what is left is listed below, every pair of it
         links = found if links is None else links.union(found)
         labels = components(links)
-    current = _labelled(rows, labels)
+    current = _labelled(stored(_first_shared(rows, percent), "first-shared"), labels)
     here = current.join(_open_groups(current).select("token"), "token", "left_semi")
-    there = here.select("token", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "at", "need", "component")])
+    there = here.select("token", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "at", "component")])
     pairs = (here.join(there, "token").where("doc_id < doc_id_b AND component <> component_b").where(_room(percent))
-             .groupBy(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b"))
-             .agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("need", "need_b")).alias("needed"))
-             .where("shared >= needed").select("a", "b"))
+             .select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b")).distinct())
+    pairs = _enough(stored(pairs, "listed"), rows)
     found = stored(_verified(docs, stored(pairs, "candidates"), size, percent), "links")
     links = found if links is None else links.union(found)
     near = components(links).select(F.col("node").alias("rep"), F.col("component").alias("near"))

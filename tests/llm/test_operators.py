@@ -246,3 +246,22 @@ def test_near_copies_are_linked_through_leaders(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(documents(spark, copies + unlike)).collect()}
     assert got == {i: 1 if i < 1000 else i for i, _ in copies + unlike}
     assert listed == [0]
+
+
+def test_near_copies_too_far_apart_are_not_listed(spark, monkeypatch):
+    """Copies of a text with four words of their own each share most shingles and link with none; no pair is listed."""
+    far = [(i, " ".join(f"new{i}x{j}" if j % 25 == i % 25 else f"t{j}" for j in range(100))) for i in range(1, 81)]
+    near = [(200 + i, " ".join(f"new{i}" if j == 10 * i else f"t{j}" for j in range(100))) for i in range(4)]
+    listed, stored = [], jaccard_join.stored
+
+    def watched(df, name):
+        got = stored(df, name)
+        if name == "listed":
+            listed.append(got.count())
+        return got
+
+    monkeypatch.setattr(jaccard_join, "stored", watched)
+    texts = far + near
+    got = jaccard_join.jaccard_components(documents(spark, texts), star_rounds=0).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(texts)
+    assert listed == [6]
