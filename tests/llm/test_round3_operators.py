@@ -158,3 +158,21 @@ def test_imatch_empty(spark):
     assert imatch.fingerprints(docs).count() == 0
     one = imatch.fingerprints(spark.createDataFrame([(1, "a b c")], "doc_id long, text string")).first()
     assert one["near_next"] == 1.0 and one["near_edited"] == 1.0 and one["n_chars"] == 5
+
+
+@pytest.mark.parametrize("most", [0, 5, 1_000_000])
+def test_imatch_gathers_common_terms_where_the_texts_are(spark, monkeypatch, most):
+    """However few terms are broadcast the rows are the same; with all of them no row of a term is shuffled."""
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    plans, stored = {}, imatch.stored
+
+    def watched(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name)
+
+    want = sorted(map(str, imatch.fingerprints(docs).collect()))
+    monkeypatch.setattr(imatch, "stored", watched)
+    monkeypatch.setattr(imatch, "FREQUENT_BROADCAST", most)
+    assert sorted(map(str, imatch.fingerprints(docs).collect())) == want
+    if most == 1_000_000:
+        assert "Exchange hashpartitioning" not in plans["imatch-signed"].split("Generate explode")[0]
