@@ -27,7 +27,7 @@ from plumbline.llm.shared import stored
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII white space but the blank.
 BLANKS = "\t\n\x0b\x0c\r"
-#: The most frequent terms, up to this many (some 24 MB, 75 MB as a hash table), are looked up in a broadcast.
+#: The most frequent terms, up to this many (24 MB, some 100 MB as a hash table), are looked up in a broadcast.
 FREQUENT_BROADCAST = 1_000_000
 
 
