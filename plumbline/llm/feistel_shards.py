@@ -119,11 +119,19 @@ def _pack(tokenizer: str, length: int):
     return run
 
 
-def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records compressed for the shuffle: a sixth less than its own codec leaves of token ids."""
-    packer = zstandard.ZstdCompressor(3)
-    for batch in batches:
-        yield batch.set_column(2, "ids", pa.array([packer.compress(x) for x in batch.column(2).to_pylist()], pa.binary()))
+def _place(n: int, key: int, per_shard: int):
+    """Shard and slot of each sequence, and its record compressed for the shuffle: a sixth less than the shuffle's own
+    codec leaves of token ids. One step for both: a second one in Python would need a worker of its own in every
+    task, which Spark keeps beside the first for the steps that follow."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(3)
+        for batch in batches:
+            slots = permute(batch.column(0).to_numpy(zero_copy_only=False), n, key)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(slots // per_shard, pa.int64()), pa.array(slots, pa.int64()),
+                pa.array([packer.compress(x) for x in batch.column(1).to_pylist()], pa.binary())],
+                ["shard", "slot", "ids"])
+    return run
 
 
 def _unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,12 +169,12 @@ def materialise(docs: DataFrame, path: str | None = None, tokenizer: str = "/opt
     totals = totals.select("part", "before")
     if size["parts"] <= BROADCAST_PARTS:
         totals = F.broadcast(totals)
-    placed = (packed.join(totals, "part").withColumn("slot", slot(F.col("before") + F.col("number")))
-              .withColumn("shard", F.expr(f"slot div {per_shard}")))
+    numbered = packed.join(totals, "part").withColumn("place", F.col("before") + F.col("number"))
     rows = "shard long, slot long, ids binary"
-    (placed.select("shard", "slot", "ids").mapInArrow(_zip, rows).repartitionByRange("shard").mapInArrow(_unzip, rows)
-     .sortWithinPartitions("shard", "slot").select("shard", F.col("ids").cast("string").alias("value"))  # bytes as they are; the line end closes a record
+    (numbered.select("place", "ids").mapInArrow(_place(n, key, per_shard), rows).repartitionByRange("shard")
+     .mapInArrow(_unzip, rows).sortWithinPartitions("shard", "slot").select("shard", F.col("ids").cast("string").alias("value"))  # bytes as they are; the line end closes a record
      .write.partitionBy("shard").text(f"{path}/shards"))
+    placed = numbered.withColumn("slot", slot("place")).withColumn("shard", F.expr(f"slot div {per_shard}"))
     stride = WIDTH * length + 1
     return placed.select("slot", "shard", (F.col("slot") % per_shard * stride).alias("byte_offset"), "n_tokens",
                          "doc_ids", F.sha2("ids", 256).alias("sha256"))

@@ -217,6 +217,19 @@ def test_shards_give_back_the_texts(spark, tmp_path):
     assert feistel_shards.materialise(docs.limit(0)).count() == 0
 
 
+def test_records_are_placed_by_one_python_step(spark, tmp_path, monkeypatch):
+    docs = documents(spark, EDGE)
+    plans, dealt = [], type(docs).repartitionByRange
+
+    def watched(self, *args):
+        if "ids" in self.columns:
+            plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return dealt(self, *args)
+    monkeypatch.setattr(type(docs), "repartitionByRange", watched)
+    feistel_shards.materialise(docs, str(tmp_path / "shards"), length=64, per_shard=16)
+    assert [len(re.findall(r"(?m)^\W*(MapInArrow|ArrowEvalPython)\b", plan)) for plan in plans] == [1]
+
+
 def test_cross_parsing(spark):
     english, french = "the quick brown fox and the lazy dog went there ", "le renard brun et le chien sont ici avec nous "
     docs = documents(spark, [(i, (english if i % 2 else french) * 5) for i in range(60)] +
