@@ -29,10 +29,11 @@ def normal_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(snake, "[^a-z0-9]+", "_"), r"^_|_\z", "")
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 - edit distance / longer length; 1 for two empty strings."""
+def similarity(a: Column, b: Column, distance: Column | None = None) -> Column:
+    """1 - edit distance / longer length; 1 for two empty strings. ``distance`` is used if it is known."""
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
+    distance = F.levenshtein(a, b) if distance is None else distance
+    return F.when(longest == 0, F.lit(1.0)).otherwise(1 - distance / longest)
 
 
 def name_similarity(a: Column, b: Column) -> Column:

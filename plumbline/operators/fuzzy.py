@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.hashing import canonical_text, short_key_sql
 from plumbline.functions.text import name_similarity, similarity
 from plumbline.functions.verdicts import FAIL, HIGH, MEDIUM, WARN, verdict
-from plumbline.operators.edit_join import edit_pairs, with_characters
+from plumbline.operators.edit_join import edit_pairs
+from plumbline.operators.edit_tree import tree_pairs
 from plumbline.sources.workspace import checkpoint
 
 
@@ -26,7 +27,7 @@ def _tasks(df: DataFrame) -> int:
 
 
 def fuzzy_match(source: DataFrame, source_col: str, target: DataFrame, target_col: str,
-                threshold: float = 0.85, crowd: int = 1000) -> DataFrame:
+                threshold: float = 0.85) -> DataFrame:
     """For each distinct source value its nearest target value, if that is similar enough but not equal.
 
     Ties go to the smallest target value. A value that occurs in the target is dropped. The search widens its radius
@@ -35,8 +36,8 @@ def fuzzy_match(source: DataFrame, source_col: str, target: DataFrame, target_co
     """
     values = source.where(F.col(source_col).isNotNull()).select(F.col(source_col).alias("a")).distinct()
     others = target.where(F.col(target_col).isNotNull()).select(F.col(target_col).alias("b")).distinct()
-    others = checkpoint(with_characters(others.repartition(_tasks(others)), "b"))
-    pending = checkpoint(with_characters(values.join(others, F.col("a") == F.col("b"), "left_anti"), "a"))
+    others = checkpoint(others.repartition(_tasks(others)))
+    pending = checkpoint(values.join(others, F.col("a") == F.col("b"), "left_anti"))
     longest = pending.agg(F.coalesce(F.max(F.length("a")), F.lit(0))).first()[0]
 
     def limit(length: Column) -> Column:
@@ -45,22 +46,22 @@ def fuzzy_match(source: DataFrame, source_col: str, target: DataFrame, target_co
 
     furthest = math.floor((1 - threshold) * math.floor(longest / threshold + 1e-9) + 1e-9)
     nearest = None
-    reach, left = 1, pending.count()
+    reach = 1
     while True:
         radius = min(reach, furthest)
-        pairs = edit_pairs(pending, others, lambda n, r=radius: F.least(limit(n), F.lit(r)), radius, crowd, left)
+        within = F.least(limit(F.length("a")), F.lit(radius)).cast("int").alias("k")
+        pairs = tree_pairs(pending.select("a", within), others, radius, _tasks(others))
         best = pairs.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("best"))
         step = checkpoint(best.select("a", "best.b", "best.distance"))
         nearest = step if nearest is None else nearest.unionByName(step)
         if radius >= furthest:
             break
         pending = checkpoint(pending.join(step, "a", "left_anti").where(limit(F.length("a")) > radius))
-        left = pending.count()
-        if left == 0:
+        if pending.isEmpty():
             break
         reach = max(reach + 1, reach * 5 // 4)
     scored = nearest.select(F.col("a").alias("source_value"), F.col("b").alias("target_value"), "distance",
-                            similarity(F.col("a"), F.col("b")).alias("similarity"))
+                            similarity(F.col("a"), F.col("b"), F.col("distance")).alias("similarity"))
     return scored.where((F.col("similarity") >= threshold) & (F.col("similarity") < 1))
 
 

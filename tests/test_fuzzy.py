@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +158,52 @@ def test_character_sets_never_rule_out_a_close_pair(spark):
     far = spark.createDataFrame([("abcdef", "uvwxyz", 5)], "a string, b string, k int")
     far = edit_join.with_characters(edit_join.with_characters(far, "a"), "b")
     assert far.where(edit_join._may_be_close()).isEmpty()
+
+
+def test_match_of_crowded_addresses_equals_nearest_neighbour(spark, column, monkeypatch):
+    """Addresses of one host, all alike but for the number; tiles, leaves and parts of a few strings."""
+    from plumbline.operators import edit_tree
+    for name, size in (("_LEAF", 2), ("_CHUNK", 7), ("_EMIT", 3), ("_LEFT_ROWS", 5), ("_RIGHT_ROWS", 6)):
+        monkeypatch.setattr(edit_tree, name, size)
+    rng = random.Random(9)
+    numbers = [rng.randint(0, 3000) for _ in range(60)]
+    source = [f"http://example.org/en/{n}{rng.choice(['', '#top', '/', '?ü=日'])}" for n in numbers] + ["", "é"]
+    target = [f"https://example.org/{rng.choice(['en', 'de'])}/{n}{rng.choice(['', '/', '?u=日'])}" for n in numbers] + ["è"]
+    got = fuzzy.fuzzy_match(column(source + [None], kind="string"), "v", column(target + [None], kind="string"), "v", 0.7)
+    assert rows(got.select("source_value", "target_value", "distance")) == nearest(source, target, 0.7)
+
+
+def test_a_crowd_makes_few_candidates():
+    """Strings that share their segments and most q-grams; the table of NumPy leaves the close ones alone."""
+    from plumbline.operators import edit_tree
+    rng = random.Random(2)
+    left = [f"http://example.org/en/{n:06d}#top" for n in rng.sample(range(10**6), 300)]
+    right = [f"https://example.org/en/{n:06d}" for n in rng.sample(range(10**6), 3000)] + [
+        "https" + left[0].removeprefix("http").removesuffix("#top")]
+    table = pa.table({"size": pa.array([len(right[0])] * 3301, pa.int32()), "text": left + right,
+                      "k": pa.array([5] * 300 + [None] * 3001, pa.int32())})
+    bits = edit_tree._character_bits(*[edit_tree._counts(pa.array(x, pa.large_string())) for x in (left, right)])
+    words = [edit_tree._packed(x) for x in bits]
+    ruled_in = list(edit_tree._descend(edit_tree._tree(bits[1], words[1]), words[1], words[0], np.full(300, 5)))
+    assert sum(len(i) for i, _ in ruled_in) < 300 * 3001 // 10
+    found = [(r["a"], r["b"]) for x in edit_tree._candidates(table.to_batches()) for r in x.to_pylist()]
+    assert (left[0], right[-1]) in found and len(found) == len(set(found))
+    assert {b for a, b in found if a == left[0]} == {b for b in right if distance(left[0], b) <= 5}
+    assert all(distance(a, b) <= 5 for a, b in found)
+
+
+@pytest.mark.parametrize("letters", ["ab", "日本語é😀a", "x"])
+@pytest.mark.parametrize("most", [0, 1, 3, 9, 20])
+def test_the_tree_never_rules_out_a_close_pair(letters, most):
+    """Against brute force, below and above the largest radius whose distances NumPy computes."""
+    from plumbline.operators import edit_tree
+    rng = random.Random(most)
+    for size in (0, 1, 6, 25):
+        right = ["".join(rng.choice(letters) for _ in range(size)) for _ in range(40)]
+        k = [most] + [rng.randint(0, most) for _ in range(39)]
+        left = ["".join(rng.choice(letters) for _ in range(rng.randint(max(0, size - n), size + n))) for n in k]
+        table = pa.table({"size": pa.array([size] * 80, pa.int32()), "text": left + right,
+                          "k": pa.array(k + [None] * 40, pa.int32())})
+        found = {(r["a"], r["b"]) for x in edit_tree._candidates(table.to_batches()) for r in x.to_pylist()}
+        want = {(a, b) for a, n in zip(left, k) for b in right if distance(a, b) <= n}
+        assert want <= found and (most > 16 or {p for p in found if distance(*p) > most} == set())
